@@ -151,3 +151,48 @@ def ragged(first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def binaries(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def all_words(col, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """words() of a whole column, worked off in pieces so that byte-level arrays stay small."""
+    parts, first, total = [], [np.zeros(1, np.int64)], 0
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)
+        if isinstance(col, pa.ChunkedArray):
+            col = pa.array([], pa.string())
+    for i, j in pieces(col):
+        h, f = words(col.slice(i, j - i), lower)
+        parts.append(h)
+        first.append(f[1:] + total)
+        total += len(h)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate(first)
+
+
+def string_array(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A string column from UTF-8 bytes and n + 1 offsets."""
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
+def kept_words(col, keep: np.ndarray) -> pa.Array:
+    """The kept words of each row joined by one space; keep has a flag for each word of the column."""
+    out, at = [], 0
+    for i, j in pieces(col):
+        buf, off = text_buffer(col.slice(i, j - i))
+        starts, ends, first = word_spans(buf, off)
+        flags = keep[at : at + len(starts)]
+        at += len(starts)
+        rows = row_of(first)[flags]
+        starts, n = starts[flags], (ends - starts)[flags] + 1
+        to = np.concatenate(([0], np.cumsum(n)))
+        data = np.full(to[-1], 32, np.uint8)
+        at_byte = np.repeat(starts - to[:-1], n) + np.arange(to[-1])
+        inside = np.ones(to[-1], bool)
+        inside[to[1:] - 1] = False
+        data[inside] = buf[at_byte[inside]]
+        # the space after a row's last word goes
+        last = np.flatnonzero(np.append(rows[1:] != rows[:-1], True)) if len(rows) else np.zeros(0, np.int64)
+        drop = np.zeros(to[-1], bool)
+        drop[to[last + 1] - 1] = True
+        size = np.bincount(rows, weights=n, minlength=j - i).astype(np.int64) - (np.bincount(rows, minlength=j - i) > 0)
+        out.append(string_array(data[~drop], np.concatenate(([0], np.cumsum(size)))))
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())

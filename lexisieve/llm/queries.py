@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexisieve.llm import minhash
+from lexisieve.llm import minhash, secrets, substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -15,15 +16,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    count = [F.size(F.filter("secrets", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE]
+    base = F.filter("secrets", lambda s: s["ord"] < len(secrets.BASE))
+    return found.select("doc_id", *count, F.sha2(secrets.digest(base), 256).alias("base_sha256"), secrets.digest(F.col("secrets")).alias("spans"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), k=3, percent=85, bands=32, rows=6)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_secrets": op5_secrets,
+        "op6_substring_dedup": op6_substring_dedup,
         "op10_minhash": op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_secrets": _secrets_sql(),
+        "op6_substring_dedup": _SUBSTRING_SQL,
+        "op10_minhash": _MINHASH_SQL,
+    }
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+rep AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM rep),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.p) AS t, count(*) AS n
+         FROM each LEFT JOIN gone ON each.doc_id = gone.doc_id AND each.p = gone.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+_MINHASH_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format(_LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS x FROM s),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * n >= 85 * (len(a.g) + len(b.g) - n)),
+reach AS (SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
+FROM s LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY 1) r ON s.doc_id = r.u
+"""
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for i, r in enumerate(secrets.BASE + secrets.ADDED):
+        p = r.pattern
+        if p.startswith("(?i)"):  # RE2 would fold other alphabets too
+            words, rest = p[4:].split(")", 1)
+            p = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + ")" + rest
+        p = p.replace("'", "''")
+        parts.append(f"SELECT doc_id, '{r.kind}' AS kind, {i} AS o, {r.least} AS least, string_split_regex(x, '{p}') AS g, regexp_extract_all(x, '{p}', 0) AS h, regexp_extract_all(x, '{p}', {r.group}) AS q FROM t")
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+n AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM f),
+s AS (SELECT doc_id, kind, o, (list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda v: length(v))), 0))::BIGINT AS a, length(h[i]) AS size
+      FROM n WHERE length(q[i]) >= least),
+p AS (SELECT *, kind || ':' || a || ':' || (a + size) AS span FROM s)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY a, o) FILTER (o < {len(secrets.BASE)}), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY a, o), '') AS spans
+FROM t LEFT JOIN p ON t.doc_id = p.doc_id GROUP BY t.doc_id
+"""
