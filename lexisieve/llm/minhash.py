@@ -203,7 +203,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40,
     groups = connected_components(stars.unionByName(same))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     members = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "size")
-    sets = docs.join(members, "doc_id").select("doc_id", "grp", "text").mapInArrow(set_maker(k), "id long, grp long, shingles binary")
+    # members grow with the corpus: a sort-merge join at any size
+    sets = docs.join(members.hint("merge"), "doc_id").select("doc_id", "grp", "text").mapInArrow(set_maker(k), "id long, grp long, shingles binary")
     sets = persist_table(sets.join(sizes.withColumnRenamed("component", "grp"), "grp"), "minhash-sets")
 
     n_small = sets.where(F.col("size") <= SMALL).count()
