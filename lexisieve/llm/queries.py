@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import minhash, secrets, substring
+from lexisieve.llm import langid, minhash, secrets, substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -31,6 +31,13 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    model = langid.learn(docs.where(~out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), k=3, percent=85, bands=32, rows=6)
 
@@ -39,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_secrets": op5_secrets,
         "op6_substring_dedup": op6_substring_dedup,
+        "op9_language_id": op9_language_id,
         "op10_minhash": op10_minhash,
     }
 
