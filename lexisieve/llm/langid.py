@@ -20,6 +20,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -179,9 +181,14 @@ def fit(texts: list[tuple[str, str]], pieces: list[str]) -> Model | None:
     return Model(langs, finder, p)
 
 
+_SCORED: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # what this worker has scored, by model
+
+
 def _scorer(model: Model | None):
+    name = uuid.uuid4().hex
+
     def run(batches):
-        known, value = np.zeros(0, np.uint64), None
+        known, value = _SCORED.get(name, (np.zeros(0, np.uint64), None))
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
             for i, j in A.pieces(text, 2 << 20):
@@ -212,6 +219,8 @@ def _scorer(model: Model | None):
                     merged = np.concatenate((known, uniq[new]))
                     order = np.argsort(merged)
                     known, value = merged[order], np.concatenate((value, own))[order]
+                    _SCORED.clear()
+                    _SCORED[name] = known, value
                 per = value[np.searchsorted(known, uniq)] if len(uniq) else np.zeros((0, n_lang + 1))
                 rows = A.row_of(first)
                 total = np.stack([np.bincount(rows, weights=per[inverse, c], minlength=j - i) for c in range(n_lang + 1)], axis=1)
