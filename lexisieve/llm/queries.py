@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import bpe, langid, minhash, packing, secrets, substring
+from lexisieve.llm import bpe, langid, lm, minhash, packing, secrets, substring
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out(F.col("doc_id"), 7, 2).alias("held_out"))
+    scored = lm.score(docs.withColumn("learn", ~F.col("held_out")), "learn")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.default_ranks()
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text"), ranks)
@@ -55,6 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
         "op6_substring_dedup": op6_substring_dedup,
