@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexisieve.llm import bpe, langid, lm, minhash, packing, secrets, substring
+from lexisieve.llm import ann, bpe, langid, lm, minhash, neardup, packing, secrets, substring, urlfilter
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +22,15 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.default_ranks()
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks).drop("text"), ranks)
@@ -48,6 +57,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out(F.col("doc_id"), 3, 1)
@@ -62,10 +75,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
+        "op2_ann": op2_ann,
+        "op3_url_filter": op3_url_filter,
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_packing": op7_packing,
+        "op8_embedding_neardup": op8_embedding_neardup,
         "op9_language_id": op9_language_id,
         "op10_minhash": op10_minhash,
     }
@@ -75,6 +91,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_secrets": _secrets_sql(),
         "op6_substring_dedup": _SUBSTRING_SQL,
+        "op8_embedding_neardup": _NEARDUP_SQL,
         "op10_minhash": _MINHASH_SQL,
     }
 
@@ -107,6 +124,16 @@ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc
 FROM s LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY 1) r ON s.doc_id = r.u
 """
 
+_NEARDUP_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT u, v FROM links UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
+FROM v LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY 1) l ON v.vec_id = l.u
+LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY 1) r ON v.vec_id = r.u
+"""
+
 
 def _secrets_sql() -> str:
     parts = []
