@@ -1 +1 @@
-
+"""Detection: settings, lexicons, views, the kernel and its Column functions."""
