@@ -1 +1 @@
-
+"""Detection on streams."""
