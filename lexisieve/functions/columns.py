@@ -15,14 +15,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexisieve.functions.detector import Detector
 from lexisieve.functions.lexicon import Lexicon
 from lexisieve.functions.settings import Settings, SettingsError, profile
 from lexisieve.functions.views import base_view
 
-MATCH = "struct<term:string,matched_text:string,start:int,end:int,method:string,score:double>"
-RESULT = f"struct<normalized_text:string,error:string,matches:array<{MATCH}>>"
+MATCH = T.StructType([T.StructField(n, k) for n, k in (("term", T.StringType()), ("matched_text", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("method", T.StringType()), ("score", T.DoubleType()))])
+RESULT = T.StructType([T.StructField("normalized_text", T.StringType()), T.StructField("error", T.StringType()), T.StructField("matches", T.ArrayType(MATCH))])
 _MATCH = pa.struct([("term", pa.string()), ("matched_text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("method", pa.string()), ("score", pa.float64())])
 _RESULT = pa.struct([("normalized_text", pa.string()), ("error", pa.string()), ("matches", pa.list_(_MATCH))])
 _DETECTORS: dict[str, Detector] = {}  # of this Python worker
