@@ -220,7 +220,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40,
     out = (
         sketch.join(classes.select(*key, "rep"), key, "left")
         .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
     discard(sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -138,7 +138,7 @@ def _any(options: list[Column]) -> Column:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) -> DataFrame:
-    """(key, rules): for each document with a candidate, the kinds of indexed rules whose trigram query it meets."""
+    """(key, _kinds): for each document with a candidate, the kinds of indexed rules whose trigram query it meets."""
     asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in asked.values() for clause in q for option in clause for g in option})
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,7 +162,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], key: str, text: str) ->
         for clause in query:
             ok = ok & _any([met(option) for option in clause])
         kinds.append(F.when(ok, F.lit(kind)))
-    return masks.select(key, F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    return masks.select(key, F.array_compact(F.array(*kinds)).alias("_kinds")).where(F.size("_kinds") > 0)
 
 
 def _spans(rule: Rule, order: int, text: Column) -> Column:
@@ -192,9 +192,9 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, added: tuple[Rule, ...]
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     lists = []
     for i, rule in enumerate(rules):
-        may = F.array_contains("kinds", rule.kind) if trigram_query(rule.pattern) else F.col("_text").rlike(rule.pattern)
+        may = F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) else F.col("_text").rlike(rule.pattern)
         lists.append(F.when(may, _spans(rule, i, F.col("_text"))).otherwise(none))
-    return joined.withColumn("secrets", F.array_sort(F.concat(*lists))).drop("_text", "_key", "kinds")
+    return joined.withColumn("secrets", F.array_sort(F.concat(*lists))).drop("_text", "_key", "_kinds")
 
 
 def digest(spans: Column) -> Column:
