@@ -9,12 +9,16 @@ best-first, then keeps the lists whose distance is within `ratio` of the
 nearest one, more if they hold fewer than `least` vectors together.  Lists are
 searched in blocks of bounded size, exactly and in double precision.
 
-The number of lists is bounded (MAX_LISTS), and so is what is broadcast.
+A group of equal vectors, however large, counts k + 1 times at most: of equal
+candidates only the k + 1 smallest ids can be among anyone's k nearest (the
+window's group limit prunes them before the shuffle), and equal queries are
+searched once.  The number of lists is bounded (MAX_LISTS), and so is what is
+broadcast; a list with many vectors or many queries is split in blocks.
 
 Defined results: a vector that is null, empty, zero, holds a null or
 non-finite component, or has another length than most takes no part, as query
 or candidate, and so does a row with a null vec_id; rows sharing a vec_id
-count once, by their nearest vector; ties go to the smaller vec_id; extra
+count once as candidates, by their nearest vector, and are each a query; ties go to the smaller vec_id; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -24,7 +28,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisieve.llm import vectors as V
@@ -156,13 +160,8 @@ def _nearest(k: int):
         for r in q if len(b) else []:
             diff = x[b] - x[r]
             d = np.sqrt((diff * diff).sum(axis=1))
-            d[ids[b] == ids[r]] = np.inf
-            top = np.lexsort((ids[b], d))[: k + 1] if len(b) <= 4 * k else None
-            if top is None:
-                limit = np.partition(d, k - 1)[k - 1]
-                near = np.flatnonzero(d <= limit)
-                top = near[np.lexsort((ids[b[near]], d[near]))][:k]
-            top = top[np.isfinite(d[top])][:k]
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(b) > k else np.arange(len(b))
+            top = near[np.lexsort((ids[b[near]], d[near]))][:k]
             us += [ids[r]] * len(top)
             vs += ids[b[top]].tolist()
             ds += d[top].tolist()
@@ -179,16 +178,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     if per is None:
         return vectors.sparkSession.createDataFrame([], empty)
     n, vectors = per["count"], vectors.where(F.size("embedding") == per["d"])
-    centroids = balanced(V.sample(vectors, "embedding", n), max(1, min(MAX_LISTS, n // LIST)))
-    posted = persist_table(vectors.select("vec_id", "embedding").mapInArrow(_post(centroids, boundary, copies), "vec_id long, embedding array<double>, list long"), "ann-postings")
-    sizes = np.zeros(len(centroids), np.int64)
-    for r in posted.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        sizes[r["list"]] = r["count"]
-    routed = vectors.where("ask").select("vec_id", "embedding").mapInArrow(_route(Graph(centroids), sizes, ratio, min(lists, len(centroids)), least), "vec_id long, embedding array<double>, list long")
-    blocks = F.element_at(F.lit(np.maximum(1, -(-sizes // BLOCK)).tolist()), (F.col("list") + 1).cast("int"))
-    base = posted.select(F.concat_ws(":", "list", F.pmod(F.xxhash64("vec_id"), blocks)).alias("block"), "vec_id", "embedding", F.lit(False).alias("ask"))
-    asks = routed.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part")).select(F.concat_ws(":", "list", "part").alias("block"), "vec_id", "embedding", F.lit(True).alias("ask"))
-    found = base.unionByName(asks).groupBy("block").applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    # at most k rows from each of the blocks a query visits
-    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+    centroids = balanced(V.sample(vectors.select("embedding").distinct(), "embedding", n), max(1, min(MAX_LISTS, n // LIST)))
+    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    bases = vectors.select("vec_id", "embedding").withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
+    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies), "vec_id long, embedding array<double>, list long"), "ann-postings")
+    sizes = _counts(posted, len(centroids))
+    asked = vectors.where("ask").select("vec_id", "embedding")
+    classes = persist_table(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "ann-queries")
+    routed = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, min(lists, len(centroids)), least), "vec_id long, embedding array<double>, list long"), "ann-routes")
+
+    def parts(count: np.ndarray) -> Column:
+        return F.element_at(F.lit(np.maximum(1, -(-count // BLOCK)).tolist()), (F.col("list") + 1).cast("int"))
+
+    b_parts, q_parts = parts(sizes), parts(_counts(routed, len(centroids)))
+
+    def placed(df: DataFrame, own: Column, others: Column, ask: bool) -> DataFrame:
+        both = df.withColumns({"_own": F.pmod(F.xxhash64("vec_id"), own), "_other": F.explode(F.sequence(F.lit(0), others - 1))})
+        b, q = ("_other", "_own") if ask else ("_own", "_other")
+        return both.select(F.concat_ws(":", "list", b, q).alias("block"), "vec_id", "embedding", F.lit(ask).alias("ask"))
+
+    blocks = placed(posted, b_parts, q_parts, False).unionByName(placed(routed, q_parts, b_parts, True))
+    found = blocks.groupBy("block").applyInArrow(_nearest(k + 1), "query_id long, vec_id long, score double")
+    # at most k + 1 rows from each of the blocks a query visits
+    best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("best"))
+    answers = classes.withColumnRenamed("vec_id", "query_id").join(best, "query_id").select("embedding", "best")
+    own = asked.withColumnRenamed("vec_id", "query_id").join(answers, "embedding").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("best"))
+    return own.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
+
+
+def _counts(rows: DataFrame, lists: int) -> np.ndarray:
+    """Rows of each list; at most MAX_LISTS numbers come to the driver."""
+    out = np.zeros(lists, np.int64)
+    for r in rows.groupBy("list").count().collect():
+        out[r["list"]] = r["count"]
+    return out
