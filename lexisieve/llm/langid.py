@@ -7,8 +7,9 @@ Words are independent, so a text's log-likelihood is a sum over words, and
 each distinct word of a batch is scored once, all words of a length at a time.
 
 Piece probabilities are fitted by expectation-maximisation (forward-backward)
-on a bounded sample of labelled texts: at most SAMPLE_DOCS texts and
-SAMPLE_CHARS characters a language, in the order of a hash of the text.
+on a bounded sample of distinct labelled texts: at most SAMPLE_DOCS texts and
+SAMPLE_CHARS characters a language (fewer if there are many languages, so that
+SAMPLE_ALL bounds all), in the order of a hash of the text.
 
 Words are runs of letters, lower-cased; a run of more than 64 letters counts
 as several of 64.  Letters that no piece covers have a fixed small probability.
@@ -32,7 +33,8 @@ from lexisieve.llm import arrays as A
 
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 600_000
-SAMPLE_TEXT = 60_000  # longer texts are not taken into the sample
+SAMPLE_ALL = 4000  # texts of all languages
+SAMPLE_TEXT = 20_000  # longer texts are not taken into the sample
 MAX_LANGUAGES = 200
 RUN = 64
 UNKNOWN = 1e-7
@@ -242,13 +244,14 @@ def learn(labelled: DataFrame, pieces: list[str] | None = None) -> Model | None:
     count = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not count:
         return None
-    # a share of each language that yields its SAMPLE_DOCS and some to spare; whatever is over goes below
-    limit = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1 << 40, int((1.5 * SAMPLE_DOCS + 20) / n * (1 << 40))))])
-    taken = rows.where(F.col("rank") < limit[F.col("lang")]).collect()
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(count)))
+    # a share of each language that yields its texts and some to spare; what is over goes below
+    limit = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1 << 40, int((1.5 * each + 20) / n * (1 << 40))))])
+    taken = rows.where(F.col("rank") < limit[F.col("lang")]).distinct().orderBy("rank", "lang", "text").limit(2 * SAMPLE_ALL + 30 * MAX_LANGUAGES).collect()
     texts, size = [], {}
     for r in sorted(taken, key=lambda r: (r["rank"], r["lang"], r["text"])):
         n, chars = size.get(r["lang"], (0, 0))
-        if n < SAMPLE_DOCS and chars < SAMPLE_CHARS:
+        if n < each and chars < SAMPLE_CHARS:
             size[r["lang"]] = (n + 1, chars + len(r["text"]))
             texts.append((r["lang"], r["text"]))
     return fit(texts, pieces if pieces is not None else default_vocabulary())
