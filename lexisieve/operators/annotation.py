@@ -79,3 +79,32 @@ def reaudit_apply(cases: DataFrame, audited: DataFrame, columns: tuple[str, ...]
     for c in fixed:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
     return out, transitions, touched.where(differs).select("case_id")
+
+
+def batch_problems(batch: DataFrame, cases: DataFrame, most: int = 500) -> DataFrame:
+    """(case_id, rule): cases that are unknown, repeated or changed, labels that contradict the matches, and a batch over `most` rows.
+
+    batch: case_id, text, privacy_status, label, matches array<struct<start,end,...>>; cases: case_id, text.
+    """
+    twice = batch.groupBy("case_id").count().where("count > 1").select("case_id", F.lit("repeated").alias("rule"))
+    both = batch.join(cases.select("case_id", F.col("text").alias("_text")), "case_id", "left")
+    n = F.size("matches")
+    rules = F.array_compact(F.array(
+        F.when(F.col("_text").isNull(), F.lit("unknown")),
+        F.when(F.col("_text") != F.col("text"), F.lit("text")),
+        F.when(F.coalesce(~F.col("privacy_status").isin("pending", "approved", "exclude"), F.lit(True)), F.lit("status")),
+        F.when((F.col("label") == "positive") & (n == 0), F.lit("positive-without-match")),
+        F.when((F.col("label") == "hard-negative") & (n > 0), F.lit("negative-with-match")),
+        F.when(F.exists("matches", lambda m: (m["start"] < 0) | (m["end"] <= m["start"]) | (m["end"] > F.length("text"))), F.lit("span")),
+    ))
+    over = batch.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(None).cast(batch.schema["case_id"].dataType).alias("case_id"), F.lit("too-long").alias("rule"))
+    return twice.unionByName(both.select("case_id", F.explode(rules).alias("rule"))).unionByName(over)
+
+
+def exclusion_problems(excluded: DataFrame, cases: DataFrame, fields: tuple[str, ...] = ("text", "split")) -> DataFrame:
+    """case_id of excluded rows that the corpus doesn't hold with the same fields."""
+    own = cases.select("case_id", F.lit(True).alias("_c"), *[F.col(f).alias(f"_{f}") for f in fields])
+    same = F.coalesce("_c", F.lit(False))
+    for f in fields:
+        same = same & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    return excluded.join(own, "case_id", "left").where(~same).select("case_id")

@@ -103,3 +103,31 @@ def test_sources(spark, tmp_path):
     with pytest.raises(readers.SourceError):
         readers.write_json(spark.range(1), "/in/x", ("/in",))
     assert readers.canonical_hash({"b": 1, "a": [2]}) == readers.canonical_hash(json.loads('{"a":[2],"b":1}'))
+
+
+def test_provenance_and_generation(spark):
+    from lexisieve.operators import generation, provenance
+
+    sources = spark.createDataFrame([("s", "licensed", "approved", None, True), ("t", "curated", "pending", None, None)], "source_id string, kind string, license_status string, reference string, redistribution_allowed boolean")
+    assert set(rows(provenance.source_problems(sources), "key", "rule")) == {("s", "source-reference"), ("t", "source-redistribution")}
+    c = spark.createDataFrame(
+        [("1", "bad", "core", "profanity", "approved", "s", ("approved", "d")), ("2", "badge", "none", "hard-negative", "approved", "s", ("approved", None)), ("3", "odd", "x", "profanity", "approved", "u", ("pending", None))],
+        "candidate_id string, surface string, target_layer string, classification string, status string, source_id string, review struct<status:string,decision_reference:string>",
+    )
+    assert set(rows(provenance.candidate_problems(c, sources), "key", "rule")) == {("2", "decision"), ("3", "layer"), ("3", "source-unknown")}
+    terms = spark.createDataFrame([("worse",)], "term string")
+    assert rows(provenance.reconcile(c, terms), "surface", "issue") == [("bad", "not-packaged"), ("worse", "no-candidate")]
+    assert rows(provenance.negatives_with_core(c), "candidate_id", "term") == [("2", "bad")] and rows(provenance.selected(c, sources), "candidate_id") == [("1",)]
+    made = generation.from_templates(spark.createDataFrame([("ab",)], "term string"), spark.createDataFrame([("so {surface}!",), ("{surface}",)], "template string"))
+    assert rows(made, "text") == [("ab",), ("so ab!",)]
+    assert rows(generation.variants(made.select("term").distinct()), "surface") == [("a  b",), ("a * b",), ("a*b",), ("ab",)]
+    assert generation.common(made, made.where("text = 'ab'")).count() == 1 and generation.forbidden(made, ["so"]).count() == 1
+    for shape in ("standard", "prefix", "hangul"):
+        assert generation.synthetic_terms(spark, 50, shape).distinct().count() == 50
+
+
+def test_batches(spark):
+    b = spark.createDataFrame([(1, "abc", "approved", "positive", []), (2, "abx", "odd", "hard-negative", [(0, 9)]), (9, "q", "approved", "review", [])], "case_id int, text string, privacy_status string, label string, matches array<struct<start:int,end:int>>")
+    c = spark.createDataFrame([(1, "abc"), (2, "abc")], "case_id int, text string")
+    assert set(rows(annotation.batch_problems(b, c), "case_id", "rule")) == {(1, "positive-without-match"), (2, "text"), (2, "status"), (2, "negative-with-match"), (2, "span"), (9, "unknown")}
+    assert rows(annotation.exclusion_problems(b, c, ("text",)), "case_id") == [(2,), (9,)]
