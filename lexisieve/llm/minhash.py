@@ -186,7 +186,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40,
 
     Links join documents whose k-word shingle sets have a Jaccard similarity of
     at least percent / 100.  With the defaults a pair at the threshold 0.8 is
-    missed with probability (1 - 0.8**6)**40 = 5e-6; at 0.85 with 2e-9.
+    missed with probability (1 - 0.8**6)**40 = 5e-6, one at 0.85 with 6e-9.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = persist_table(docs.mapInArrow(sketcher(k, bands, rows), SIGNATURE), "minhash-sketch")
