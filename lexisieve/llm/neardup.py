@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisieve.llm import vectors as V
-from lexisieve.llm.minhash import Forest
 from lexisieve.llm.spark_utils import connected_components, persist_table
 
 BLOCK = 8192
-CELL = 1000  # vectors a cell is meant to hold
+CELL = BLOCK  # vectors a cell is meant to hold: moving a vector to a cell costs as much as thousands of products
 MAX_CELLS = 1024
 
 
@@ -60,24 +59,33 @@ def _links(threshold: float):
         rep, n, base = (table.column(c).to_numpy() for c in ("rep", "n", "base"))
         x = V.unit(V.matrix(table.column("embedding"))) if len(rep) else np.zeros((0, 1))
         b, q = np.flatnonzero(base), np.flatnonzero(~base)
+        rough, low = x.astype(np.float32), threshold - 1e-6 * (x.shape[1] + 8)  # single precision errs by less
+        own = np.isin(rep[q], rep[b])
         us, ns, vs = [], [], []
         ids, place = np.unique(rep, return_inverse=True)
-        forest = Forest(len(ids))
+        root, edges = np.arange(len(ids)), []
         for i in range(0, len(q), 512):
             part = q[i : i + 512]
+            near = (rough[part] @ rough[b].T >= low).sum(axis=1) > own[i : i + 512]
+            part = part[near]
             hit = x[part] @ x[b].T >= threshold
             hit &= rep[part][:, None] != rep[b]
-            total = hit @ n[b]
-            some = np.flatnonzero(total)
-            us += rep[part[some]].tolist()
-            ns += total[some].tolist()
-            vs += [None] * len(some)
-            for r in some:
-                for m in np.flatnonzero(hit[r]):
-                    forest.join(int(place[part[r]]), int(place[b[m]]))
-        us += [int(ids[a]) for a, _ in forest.edges]
-        vs += [int(ids[c]) for _, c in forest.edges]
-        ns += [0] * len(forest.edges)
+            for r, row in zip(part, hit, strict=True):
+                found = b[row]
+                if not len(found):
+                    continue
+                us.append(int(rep[r]))
+                ns.append(int(n[found].sum()))
+                vs.append(None)
+                # one spanning edge to each other tree that the row is linked to
+                trees, first = np.unique(root[place[found]], return_index=True)
+                for tree, at in zip(trees, first, strict=True):
+                    if tree != root[place[r]]:
+                        root[root == tree] = root[place[r]]
+                        edges.append((place[r], place[found[at]]))
+        us += [int(ids[a]) for a, _ in edges]
+        vs += [int(ids[c]) for _, c in edges]
+        ns += [0] * len(edges)
         return pa.table({"u": pa.array(us, pa.int64()), "n": pa.array(ns, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
