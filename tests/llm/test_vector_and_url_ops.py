@@ -60,6 +60,18 @@ def test_neardup_edges(spark):
     assert neardup.near_duplicates(df.withColumn("embedding", F.lit(None).cast("array<float>"))).where("kept").count() == 4
 
 
+def test_neardup_decides_at_the_threshold_in_double_precision(spark):
+    def at(cosine, axis):
+        v = [0.0] * 8
+        v[axis], v[axis + 1] = cosine, (1 - cosine * cosine) ** 0.5
+        return v
+
+    rows = [(1, at(1.0, 0)), (2, at(0.9 + 1e-9, 0)), (3, at(1.0, 4)), (4, at(0.9 - 1e-9, 4))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def test_ann_recall_and_ties(spark, rows, monkeypatch):
     monkeypatch.setattr(ann, "LIST", 20)
     monkeypatch.setattr(ann, "BLOCK", 50)
