@@ -9,7 +9,9 @@ each distinct word of a batch is scored once, all words of a length at a time.
 Piece probabilities are fitted by expectation-maximisation (forward-backward)
 on a bounded sample of distinct labelled texts: at most SAMPLE_DOCS texts and
 SAMPLE_CHARS characters a language (fewer if there are many languages, so that
-SAMPLE_ALL bounds all), in the order of a hash of the text.
+SAMPLE_ALL bounds all), in the order of a hash of the text.  A language with too
+few texts of SAMPLE_TEXT characters or less also takes the beginnings of longer
+ones.  Labels beyond the MAX_LANGUAGES with most distinct texts are not learned.
 
 Words are runs of letters, lower-cased; a run of more than 64 letters counts
 as several of 64.  Letters that no piece covers have a fixed small probability.
@@ -34,7 +36,7 @@ from lexisieve.llm import arrays as A
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 600_000
 SAMPLE_ALL = 4000  # texts of all languages
-SAMPLE_TEXT = 20_000  # longer texts are not taken into the sample
+SAMPLE_TEXT = 20_000  # longer texts come last into the sample, cut to this length
 MAX_LANGUAGES = 200
 RUN = 64
 UNKNOWN = 1e-7
@@ -240,16 +242,23 @@ def _scorer(model: Model | None):
 
 def learn(labelled: DataFrame, pieces: list[str] | None = None) -> Model | None:
     """A model from labelled rows (text, lang): a bounded sample in the order of a hash of the text."""
-    rows = labelled.where("text is not null and lang is not null").where(F.length("text") <= SAMPLE_TEXT).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("rank"))
-    count = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), (F.length("text") > SAMPLE_TEXT).alias("long"), F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("rank"))
+    # distinct texts, as equal texts share one draw
+    distinct = rows.select("lang", "long", "rank").distinct().groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long"), F.count("*").alias("n"))
+    count = {r["lang"]: (r["short"], r["long"]) for r in distinct.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not count:
         return None
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(count)))
-    # a share of each language that yields its texts and some to spare; what is over goes below
-    limit = F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, min(1 << 40, int((1.5 * each + 20) / n * (1 << 40))))])
-    taken = rows.where(F.col("rank") < limit[F.col("lang")]).distinct().orderBy("rank", "lang", "text").limit(2 * SAMPLE_ALL + 30 * MAX_LANGUAGES).collect()
+
+    def cut(n: int) -> int:
+        """A share of n texts that yields a language's sample and some to spare; what is over goes below."""
+        return min(1 << 40, int((1.5 * each + 20) / max(1, n) * (1 << 40)))
+
+    limits = [(F.create_map(*[F.lit(x) for lang, n in count.items() for x in (lang, value(*n))])) for value in (lambda short, long: cut(short), lambda short, long: cut(long) if short < each else 0)]
+    limit = F.when(F.col("long"), limits[1][F.col("lang")]).otherwise(limits[0][F.col("lang")])
+    taken = rows.where(F.col("rank") < limit).distinct().orderBy("long", "rank", "lang", "text").limit(4 * SAMPLE_ALL + 60 * MAX_LANGUAGES).collect()
     texts, size = [], {}
-    for r in sorted(taken, key=lambda r: (r["rank"], r["lang"], r["text"])):
+    for r in sorted(taken, key=lambda r: (r["long"], r["rank"], r["lang"], r["text"])):
         n, chars = size.get(r["lang"], (0, 0))
         if n < each and chars < SAMPLE_CHARS:
             size[r["lang"]] = (n + 1, chars + len(r["text"]))

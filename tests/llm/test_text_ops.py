@@ -248,6 +248,13 @@ def test_language_id(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
+def test_language_id_learns_from_few_distinct_and_from_long_texts(spark):
+    rows = [(lang, f"{word} {word}{chr(97 + i)}") for lang, word in (("aa", "morning"), ("bb", "abend")) for i in range(3)]
+    df = spark.createDataFrame(rows, "lang string, text string").join(spark.range(20_000))
+    df = df.select("lang", "text").unionByName(spark.createDataFrame([("cc", "jour " * 5000)], "lang string, text string"))
+    assert langid.learn(df).langs == ["aa", "bb", "cc"]
+
+
 def test_forward_sums_all_segmentations():
     finder = langid.Pieces(["▁a", "b", "▁ab", "ab", "a", "▁"])
     p = np.full((finder.n + 2, 1), 0.0)
