@@ -43,8 +43,13 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{12,}"),
     Rule("hex", "[0-9a-f]{32,}"),
 )
+# A key in PEM goes to its END line (no five dashes come before it), or where there is none over the run of base64 lines
+# and what white space and escaped line ends part them; loops over groups are bounded, since Java's recurse.
+_KEY_BEGIN = "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
+_KEY_TO_END = "[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]{0,32}PRIVATE KEY-----"
+_KEY_LINES = r"[\\\x20\x09-\x0Dnr]*(?:[A-Za-z-]{1,32}:\x20[^\x0A\x0D]{0,200}[\\\x20\x09-\x0Dnr]+){0,4}[A-Za-z0-9+/]{16,}[A-Za-z0-9+/=\\\x20\x09-\x0D]*"
 ADDED = (
-    Rule("private_key", "-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"),
+    Rule("private_key", _KEY_BEGIN + "(?:" + _KEY_TO_END + "|" + _KEY_LINES + ")?"),
     Rule("code_host", "gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", "AIza[0-9A-Za-z_-]{35}"),

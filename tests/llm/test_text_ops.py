@@ -146,6 +146,27 @@ def test_secrets_equal_the_base_rules(spark):
     assert secrets.scan(df.where("false")).count() == 0
 
 
+KEY_LINES = ["MIIEpAIBAAKCAQEA" + "aB3/+dEf" * 6, "Zz9+" * 16, "Qw4rT5=="]
+
+
+@pytest.mark.parametrize("head", ["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"])
+@pytest.mark.parametrize("end", ["-----END RSA PRIVATE KEY-----", ""])
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\\n", " "])
+def test_private_key_covers_the_body(head, end, newline):
+    rule = next(r for r in secrets.ADDED if r.kind == "private_key")
+    key = newline.join(["-----BEGIN RSA PRIVATE KEY-----", *filter(None, head.split("\n")), *KEY_LINES, end])
+    if head and not end and newline in ("\\n", " "):
+        pytest.skip("headers need lines")
+    left = re.sub(rule.pattern, "[SECRET]", f"before {key}. After it.")
+    assert left == "before [SECRET]. After it."
+
+
+def test_redact_leaves_no_byte_of_a_private_key(spark):
+    rows = [(i, "before\n" + "\n".join(["-----BEGIN PRIVATE KEY-----", *KEY_LINES, end]) + ". After") for i, end in enumerate(("-----END PRIVATE KEY-----", ""))]
+    for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r["text"] == "before\n[SECRET]. After"
+
+
 def test_trigram_queries_hold_for_every_match():
     import string
 
