@@ -659,5 +659,6 @@ def containment_theta_join(spark, sf):
     long_items = items.where(F.size(F.split("passage", " ")) >= 5)
     near = docs.select("doc_id", F.explode(grams).alias("key")).join(long_items.select("item_id", tail.alias("key")), "key").select("doc_id", "item_id").distinct()
     full = near.join(docs.drop("w"), "doc_id").join(items, "item_id").where(F.contains("text", "passage"))
-    short = docs.drop("w").join(F.broadcast(items.where(F.size(F.split("passage", " ")) < 5).limit(10_000)), F.contains("text", "passage"))
+    # every passage, however many: Spark broadcasts them only where they are few
+    short = docs.drop("w").join(items.where(F.size(F.split("passage", " ")) < 5), F.contains("text", "passage"))
     return full.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))

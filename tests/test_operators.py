@@ -131,3 +131,11 @@ def test_batches(spark):
     c = spark.createDataFrame([(1, "abc"), (2, "abc")], "case_id int, text string")
     assert set(rows(annotation.batch_problems(b, c), "case_id", "rule")) == {(1, "positive-without-match"), (2, "text"), (2, "status"), (2, "negative-with-match"), (2, "span"), (9, "unknown")}
     assert rows(annotation.exclusion_problems(b, c, ("text",)), "case_id") == [(2,), (9,)]
+
+
+def test_containment_tests_every_short_passage(spark, tmp_path):
+    from lexisieve.plans import catalog
+
+    spark.range(10_500).selectExpr("id AS item_id", "concat('<', id, '>') AS text").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.sql("SELECT 1L AS doc_id, concat_ws('', transform(sequence(0, 10499), i -> concat('<', i, '>'))) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.containment_theta_join(spark, str(tmp_path)).count() == 10_500
