@@ -64,8 +64,8 @@ def ablation(predictions: DataFrame, gold: DataFrame, baseline: str, full: str,
     names = predictions.select("profile").distinct()
     right, base = F.array_contains("by", "_gold"), F.array_contains("by", baseline)
     others = F.size(F.filter("by", lambda p: ~p.isin("_gold", baseline, full)))
-    # each occurrence meets each profile: profiles are a closed list of a dozen
-    every = per.join(F.broadcast(names.where(F.col("profile") != baseline).limit(64)))
+    # each occurrence meets each profile: only their names are broadcast
+    every = per.join(F.broadcast(names.where(F.col("profile") != baseline)))
     own = F.array_contains("by", F.col("profile"))
     return every.groupBy("profile").agg(
         F.count_if(own & ~base & right).alias("added_tp"),

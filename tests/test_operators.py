@@ -133,6 +133,15 @@ def test_batches(spark):
     assert rows(annotation.exclusion_problems(b, c, ("text",)), "case_id") == [(2,), (9,)]
 
 
+def test_ablation_has_a_row_for_every_profile(spark):
+    from lexisieve.operators import metrics
+
+    key = "case_id long, start int, end int, term string"
+    found = spark.createDataFrame([(1, 0, 3, "x", f"p{i}") for i in range(100)], key + ", profile string")
+    gold = spark.createDataFrame([(1, 0, 3, "x")], key)
+    assert metrics.ablation(found, gold, "p0", "p1").count() == 99
+
+
 def test_containment_tests_every_short_passage(spark, tmp_path):
     from lexisieve.plans import catalog
 
