@@ -1,19 +1,27 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 A bounded sample is split by repeated 2-means until each part holds a list's
-share, so the lists come out balanced; their centroids form an in-memory graph
-in which each is tied to its nearest ones.  A vector goes to the list of its
+share, so the lists come out balanced.  Graph ties each centroid to its nearest
+ones and finds the few nearest lists by a best-first walk.  A vector goes to the list of its
 nearest centroid and, near a boundary, to further lists whose distance is
-within `boundary` of the nearest (at most `copies`).  A query walks the graph
-best-first, then keeps the lists whose distance is within `ratio` of the
-nearest one, more if they hold fewer than `least` vectors together.  Lists are
-searched in blocks of bounded size, exactly and in double precision.
+within `boundary` of the nearest (at most `copies`).  A query is measured against all
+centroids by a product, since what it keeps grows with their number: the lists
+whose distance is within `ratio` of the nearest one, at least the `lists`
+nearest, at least the nearest `share` of all (a query that is all but a
+centroid itself has next to nothing within `ratio`), and more if these hold
+fewer than `least` vectors together.  Lists lie in the order of the splits, and
+a run of them that holds about BLOCK vectors is a group; a query searches the
+groups of the lists it keeps, in blocks of bounded size, exactly and in double
+precision.
+
+Where vectors have no clusters many lists lie within `ratio`, and the work is
+then a share of queries times vectors.
 
 A group of equal vectors, however large, counts k + 1 times at most: of equal
 candidates only the k + 1 smallest ids can be among anyone's k nearest (the
 window's group limit prunes them before the shuffle), and equal queries are
 searched once.  The number of lists is bounded (MAX_LISTS), and so is what is
-broadcast; a list with many vectors or many queries is split in blocks.
+broadcast; a group with many vectors or many queries is split in blocks.
 
 Defined results: a vector that is null, empty, zero, holds a null or
 non-finite component, or has another length than most takes no part, as query
@@ -25,6 +33,7 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -108,9 +117,13 @@ class Graph:
         found = sorted((-d, i) for d, i in best)
         return np.array([i for _, i in found]), np.array([d for d, _ in found])
 
+    def measure(self, q: np.ndarray) -> np.ndarray:
+        """(queries, lists) distances to all centroids."""
+        return np.sqrt(np.maximum(0, (q * q).sum(axis=1)[:, None] + self.norm - 2 * q @ self.c.T))
 
-def _post(centroids: np.ndarray, boundary: float, copies: int):
-    """(vec_id, embedding) -> those with list, one row for each list the vector belongs to."""
+
+def _post(centroids: np.ndarray, boundary: float, copies: int, span: int):
+    """(vec_id, embedding) -> those with group, one row for each group of `span` lists the vector belongs to."""
     norm = (centroids**2).sum(axis=1)
 
     def run(batches):
@@ -123,27 +136,35 @@ def _post(centroids: np.ndarray, boundary: float, copies: int):
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
                 own = np.take_along_axis(d, near, axis=1)
                 at, col = np.nonzero(own <= (1 + boundary) * own.min(axis=1, keepdims=True))
+                at, group = np.unique(np.stack((at, near[at, col] // span)), axis=1)
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(near[at, col])], names=["vec_id", "embedding", "list"])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(group)], names=["vec_id", "embedding", "group"])
 
     return run
 
 
-def _route(graph: Graph, sizes: np.ndarray, ratio: float, lists: int, least: int):
-    """(vec_id, embedding) of queries -> those with list, one row for each list to search."""
+def _route(graph: Graph, sizes: np.ndarray, ratio: float, lists: int, least: int, span: int):
+    """(vec_id, embedding) of queries -> those with groups, the groups to search."""
 
     def run(batches):
         for batch in batches:
             x = V.matrix(batch.column(1))
-            at, to = [], []
-            for r in range(len(batch)):
-                found, d = graph.search(x[r], lists)
-                held = np.concatenate(([0], np.cumsum(sizes[found])[:-1]))
-                keep = (d <= (1 + ratio) * d[0]) | (held < least)
-                at += [r] * int(keep.sum())
-                to += found[keep].tolist()
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(to, pa.int64())], names=["vec_id", "embedding", "list"])
+            to, off = [np.zeros(0, np.int64)], [0]
+            for i in range(0, len(batch), 256):
+                for d in graph.measure(x[i : i + 256]):
+                    order = np.argsort(d, kind="stable")
+                    d = d[order]
+                    keep = d <= (1 + ratio) * d[0]
+                    keep[:lists] = True
+                    group, first = np.unique(order // span, return_index=True)
+                    nearest = np.argsort(first)
+                    group, keep = group[nearest], keep[first[nearest]]
+                    held = np.concatenate(([0], np.cumsum(sizes[group])[:-1]))
+                    group = group[keep | (held < least)]
+                    to.append(group)
+                    off.append(off[-1] + len(group))
+            groups = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(to), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, groups], names=["vec_id", "embedding", "groups"])
 
     return run
 
@@ -156,21 +177,28 @@ def _nearest(k: int):
         x = V.matrix(table.column("embedding"))
         b, q = np.flatnonzero(~ask), np.flatnonzero(ask)
         b = b[np.argsort(ids[b], kind="stable")]
+        y, norm = x[b], (x * x).sum(axis=1)
         us, vs, ds = [], [], []
-        for r in q if len(b) else []:
-            diff = x[b] - x[r]
-            d = np.sqrt((diff * diff).sum(axis=1))
-            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(b) > k else np.arange(len(b))
-            top = near[np.lexsort((ids[b[near]], d[near]))][:k]
-            us += [ids[r]] * len(top)
-            vs += ids[b[top]].tolist()
-            ds += d[top].tolist()
+        for i in range(0, len(q) if len(b) else 0, 256):
+            part = q[i : i + 256]
+            if len(b) > k:  # squares from a product choose, with what its rounding may hide; the distances below decide
+                d2 = norm[part, None] + norm[b] - 2 * x[part] @ y.T
+                most = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-10 * (norm[part] + norm[b].max())
+                some = ~(d2 > most[:, None])
+            for j, r in enumerate(part):
+                near = np.flatnonzero(some[j]) if len(b) > k else np.arange(len(b))
+                diff = y[near] - x[r]
+                d = np.sqrt((diff * diff).sum(axis=1))
+                top = np.lexsort((ids[b[near]], d))[:k]
+                us += [ids[r]] * len(top)
+                vs += ids[b[near[top]]].tolist()
+                ds += d[top].tolist()
         return pa.table({"query_id": pa.array(us, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": pa.array(ds, pa.float64())})
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float = 0.1, copies: int = 4, ratio: float = 0.25, lists: int = 96, least: int = 1000) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float = 0.1, copies: int = 4, ratio: float = 0.25, lists: int = 96, least: int = 1000, share: float = 0.25) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query the k nearest other rows found, by Euclidean distance."""
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("ask")).where("vec_id is not null").where(V.usable("embedding"))
     per = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -181,21 +209,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     centroids = balanced(V.sample(vectors.select("embedding").distinct(), "embedding", n), max(1, min(MAX_LISTS, n // LIST)))
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     bases = vectors.select("vec_id", "embedding").withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
-    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies), "vec_id long, embedding array<double>, list long"), "ann-postings")
-    sizes = _counts(posted, len(centroids))
+    span = max(1, BLOCK * len(centroids) // (n * copies))  # lists of about BLOCK vectors together, with their copies
+    groups = -(-len(centroids) // span)
+    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies, span), "vec_id long, embedding array<double>, group long"), "ann-postings")
+    sizes = _counts(posted, groups)
     asked = vectors.where("ask").select("vec_id", "embedding")
     classes = persist_table(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "ann-queries")
-    routed = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, min(lists, len(centroids)), least), "vec_id long, embedding array<double>, list long"), "ann-routes")
+    routes = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, max(lists, math.ceil(share * len(centroids))), least, span), "vec_id long, embedding array<double>, groups array<long>"), "ann-routes")
+    routed = routes.select("vec_id", "embedding", F.explode("groups").alias("group"))
 
     def parts(count: np.ndarray) -> Column:
-        return F.element_at(F.lit(np.maximum(1, -(-count // BLOCK)).tolist()), (F.col("list") + 1).cast("int"))
+        return F.element_at(F.lit(np.maximum(1, -(-count // BLOCK)).tolist()), (F.col("group") + 1).cast("int"))
 
-    b_parts, q_parts = parts(sizes), parts(_counts(routed, len(centroids)))
+    b_parts, q_parts = parts(sizes), parts(_counts(routed, groups))
 
     def placed(df: DataFrame, own: Column, others: Column, ask: bool) -> DataFrame:
         both = df.withColumns({"_own": F.pmod(F.xxhash64("vec_id"), own), "_other": F.explode(F.sequence(F.lit(0), others - 1))})
         b, q = ("_other", "_own") if ask else ("_own", "_other")
-        return both.select(F.concat_ws(":", "list", b, q).alias("block"), "vec_id", "embedding", F.lit(ask).alias("ask"))
+        return both.select(F.concat_ws(":", "group", b, q).alias("block"), "vec_id", "embedding", F.lit(ask).alias("ask"))
 
     blocks = placed(posted, b_parts, q_parts, False).unionByName(placed(routed, q_parts, b_parts, True))
     found = blocks.groupBy("block").applyInArrow(_nearest(k + 1), "query_id long, vec_id long, score double")
@@ -206,9 +237,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     return own.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
-def _counts(rows: DataFrame, lists: int) -> np.ndarray:
-    """Rows of each list; at most MAX_LISTS numbers come to the driver."""
-    out = np.zeros(lists, np.int64)
-    for r in rows.groupBy("list").count().collect():
-        out[r["list"]] = r["count"]
+def _counts(rows: DataFrame, groups: int) -> np.ndarray:
+    """Rows of each group of lists; at most MAX_LISTS numbers come to the driver."""
+    out = np.zeros(groups, np.int64)
+    for r in rows.groupBy("group").count().collect():
+        out[r["group"]] = r["count"]
     return out

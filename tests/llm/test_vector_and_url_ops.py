@@ -102,6 +102,24 @@ def test_ann_edges(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_ann_recall_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 8)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    hits = 0
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 200 == 0, lists=12).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in range(0, 4000, 200):
+        d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.97 * 200
+
+
 def test_graph_search_finds_the_nearest_lists():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(900, 12))
