@@ -206,7 +206,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     if per is None:
         return vectors.sparkSession.createDataFrame([], empty)
     n, vectors = per["count"], vectors.where(F.size("embedding") == per["d"])
-    centroids = balanced(V.sample(vectors.select("embedding").distinct(), "embedding", n), max(1, min(MAX_LISTS, n // LIST)))
+    distinct = vectors.select("embedding").distinct()
+    centroids = balanced(V.sample(distinct, "embedding", distinct.count()), max(1, min(MAX_LISTS, n // LIST)))
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     bases = vectors.select("vec_id", "embedding").withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
     span = max(1, BLOCK * len(centroids) // (n * copies))  # lists of about BLOCK vectors together, with their copies

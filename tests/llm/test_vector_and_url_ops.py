@@ -120,6 +120,20 @@ def test_ann_recall_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
     assert hits >= 0.97 * 200
 
 
+def test_ann_fits_on_distinct_vectors_of_a_table_of_copies(spark):
+    df = spark.range(200_000).selectExpr("id AS vec_id", "array(1.0F, CAST(id % 2 AS FLOAT)) AS embedding")
+    seen = []
+
+    def fitted(x, lists, seed=9):
+        seen.append(len(x))
+        return x
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ann, "balanced", fitted)
+        ann.search(df, F.col("vec_id") == 0)
+    assert seen == [2]
+
+
 def test_graph_search_finds_the_nearest_lists():
     rng = np.random.default_rng(1)
     c = rng.normal(size=(900, 12))
