@@ -11,10 +11,11 @@ on a bounded sample of distinct labelled texts: at most SAMPLE_DOCS texts and
 SAMPLE_CHARS characters a language (fewer if there are many languages, so that
 SAMPLE_ALL bounds all), in the order of a hash of the text.  A language with too
 few texts of SAMPLE_TEXT characters or less also takes the beginnings of longer
-ones.  Labels beyond the MAX_LANGUAGES with most distinct texts are not learned.
+ones.  More than MAX_LANGUAGES labels are an error: no label is left out silently.
 
 Words are runs of letters, lower-cased; a run of more than 64 letters counts
 as several of 64.  Letters that no piece covers have a fixed small probability.
+Sums are rescaled on the way, so that runs in any script have finite scores.
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 without any labelled text all are.  Rows with equal texts have equal results;
@@ -37,8 +38,10 @@ SAMPLE_DOCS = 200
 SAMPLE_CHARS = 600_000
 SAMPLE_ALL = 4000  # texts of all languages
 SAMPLE_TEXT = 20_000  # longer texts come last into the sample, cut to this length
-MAX_LANGUAGES = 200
+MAX_LANGUAGES = 1000
 RUN = 64
+LONGEST = 16  # characters of the longest pieces that are looked for
+SCALED = 8
 UNKNOWN = 1e-7
 CACHE = 300_000
 ROUNDS = 3
@@ -69,7 +72,7 @@ class Pieces:
     """Finds the pieces that spell the substrings of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.longest = min(16, max(map(len, pieces), default=1))
+        self.longest = min(LONGEST, max(map(len, pieces), default=1))
         pieces = sorted({p for p in pieces if len(p) <= self.longest})
         key = np.array([self.hashes(self.codes([p]))[0, len(p)] for p in pieces], np.uint64) if pieces else np.zeros(0, np.uint64)
         order = np.argsort(key)
@@ -105,27 +108,34 @@ class Pieces:
         return out
 
 
-def forward(table: dict, n: int, p: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sums over the segmentations of each prefix: n + 1 arrays (words, languages)."""
-    out = [np.ones((words, p.shape[1]))]
+def forward(table: dict, n: int, p: np.ndarray, words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over the segmentations of each prefix: n + 1 arrays (words, languages), and the logarithms of what each is to be multiplied by.
+
+    Every SCALED characters the sums in reach are divided by the last one, so
+    that a run of any length in any script stays far from underflow.
+    """
+    near, scale = [np.ones((words, p.shape[1]))], np.zeros((words, p.shape[1]))
+    out, scales = [near[0]], [scale]
     for i in range(1, n + 1):
         acc = np.zeros((words, p.shape[1]))
-        for j in range(i):
+        for j in range(max(0, i - LONGEST), i):
             if (at := table.get((j, i))) is not None:
-                acc += out[j] * p[at]
-        out.append(acc)
-    return out
+                acc += near[j] * p[at]
+        near.append(acc)
+        if i % SCALED == 0:
+            for j in range(max(0, i - LONGEST), i + 1):
+                near[j] = near[j] / acc
+            scale = scale + np.log(acc)
+        out.append(near[i])
+        scales.append(scale)
+    return out, scales
 
 
-def backward(table: dict, n: int, p: np.ndarray, words: int) -> list[np.ndarray]:
-    out = [None] * n + [np.ones((words, p.shape[1]))]
-    for j in range(n - 1, -1, -1):
-        acc = np.zeros((words, p.shape[1]))
-        for i in range(j + 1, n + 1):
-            if (at := table.get((j, i))) is not None:
-                acc += p[at] * out[i]
-        out[j] = acc
-    return out
+def backward(table: dict, n: int, p: np.ndarray, words: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The same for each suffix: that from character j on is at place j."""
+    turned = {(n - i, n - j): at for (j, i), at in table.items()}
+    out, scales = forward(turned, n, p, words)
+    return out[::-1], scales[::-1]
 
 
 def by_length(words: list[str], block: int = 20_000):
@@ -139,10 +149,11 @@ def by_length(words: list[str], block: int = 20_000):
 
 
 def log_likelihoods(finder: Pieces, p: np.ndarray, words: list[str]) -> np.ndarray:
-    """(words, languages) natural log-likelihoods; longest runs have RUN + 1 characters, so nothing underflows."""
+    """(words, languages) natural log-likelihoods, always finite."""
     out = np.zeros((len(words), p.shape[1]))
     for at, codes in by_length(words):
-        out[at] = np.log(forward(finder.table(codes), codes.shape[1], p, len(at))[-1])
+        a, scales = forward(finder.table(codes), codes.shape[1], p, len(at))
+        out[at] = np.log(a[-1]) + scales[-1]
     return out
 
 
@@ -175,13 +186,17 @@ def fit(texts: list[tuple[str, str]], pieces: list[str]) -> Model | None:
         seen = np.zeros_like(p)
         for at, codes in by_length(words):
             n, table = codes.shape[1], finder.table(codes)
-            a, b = forward(table, n, p, len(at)), backward(table, n, p, len(at))
+            (a, a_scale), (b, b_scale) = forward(table, n, p, len(at)), backward(table, n, p, len(at))
             share = weight[at] / a[n]
             for (j, i), piece in table.items():
                 mass = a[j] * p[piece] * b[i] * share
+                if n >= SCALED:
+                    mass *= np.exp(a_scale[j] + b_scale[i] - a_scale[n])
                 for c in range(len(langs)):
                     seen[:, c] += np.bincount(piece, weights=mass[:, c], minlength=len(seen))
         p[: finder.n] = (seen[: finder.n] + 0.02) / (seen[: finder.n].sum(axis=0) + 0.02 * finder.n)
+        if not np.isfinite(p).all():
+            raise ArithmeticError("the piece probabilities are not finite")
     return Model(langs, finder, p)
 
 
@@ -245,9 +260,11 @@ def learn(labelled: DataFrame, pieces: list[str] | None = None) -> Model | None:
     rows = labelled.where("text is not null and lang is not null").select(F.col("lang").cast("string").alias("lang"), (F.length("text") > SAMPLE_TEXT).alias("long"), F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("rank"))
     # distinct texts, as equal texts share one draw
     distinct = rows.select("lang", "long", "rank").distinct().groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long"), F.count("*").alias("n"))
-    count = {r["lang"]: (r["short"], r["long"]) for r in distinct.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    count = {r["lang"]: (r["short"], r["long"]) for r in distinct.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if not count:
         return None
+    if len(count) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
     each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // len(count)))
 
     def cut(n: int) -> int:
