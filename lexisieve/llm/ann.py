@@ -17,10 +17,10 @@ precision.
 Where vectors have no clusters many lists lie within `ratio`, and the work is
 then a share of queries times vectors.
 
-A group of equal vectors, however large, counts k + 1 times at most: of equal
-candidates only the k + 1 smallest ids can be among anyone's k nearest (the
-window's group limit prunes them before the shuffle), and equal queries are
-searched once.  The number of lists is bounded (MAX_LISTS), and so is what is
+Repeated rows of one vec_id and vector count once.  A group of equal vectors,
+however large, counts k + 1 times at most: of equal candidates only the k + 1
+smallest ids can be among anyone's k nearest (the window's group limit prunes
+them before the shuffle), and equal queries are searched once.  The number of lists is bounded (MAX_LISTS), and so is what is
 broadcast; a group with many vectors or many queries is split in blocks.
 
 Defined results: a vector that is null, empty, zero, holds a null or
@@ -178,18 +178,23 @@ def _nearest(k: int):
         b, q = np.flatnonzero(~ask), np.flatnonzero(ask)
         b = b[np.argsort(ids[b], kind="stable")]
         y, norm = x[b], (x * x).sum(axis=1)
+        each = np.flatnonzero(np.diff(ids[b], prepend=-1 - ids[b][:1])) if len(b) else b  # the first row of each vec_id
         us, vs, ds = [], [], []
         for i in range(0, len(q) if len(b) else 0, 256):
             part = q[i : i + 256]
-            if len(b) > k:  # squares from a product choose, with what its rounding may hide; the distances below decide
+            if len(each) > k:  # squares from a product choose, with what its rounding may hide; the distances below decide
                 d2 = norm[part, None] + norm[b] - 2 * x[part] @ y.T
-                most = np.partition(d2, k - 1, axis=1)[:, k - 1] + 1e-10 * (norm[part] + norm[b].max())
+                own = d2 if len(each) == len(b) else np.minimum.reduceat(d2, each, axis=1)
+                most = np.partition(own, k - 1, axis=1)[:, k - 1] + 1e-10 * (norm[part] + norm[b].max())
                 some = ~(d2 > most[:, None])
             for j, r in enumerate(part):
-                near = np.flatnonzero(some[j]) if len(b) > k else np.arange(len(b))
+                near = np.flatnonzero(some[j]) if len(each) > k else np.arange(len(b))
                 diff = y[near] - x[r]
                 d = np.sqrt((diff * diff).sum(axis=1))
-                top = np.lexsort((ids[b[near]], d))[:k]
+                top = np.lexsort((ids[b[near]], d))
+                if len(each) < len(b):  # a vec_id counts by its nearest vector
+                    top = top[np.sort(np.unique(ids[b[near[top]]], return_index=True)[1])]
+                top = top[:k]
                 us += [ids[r]] * len(top)
                 vs += ids[b[near[top]]].tolist()
                 ds += d[top].tolist()
@@ -200,7 +205,8 @@ def _nearest(k: int):
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float = 0.1, copies: int = 4, ratio: float = 0.25, lists: int = 96, least: int = 1000, share: float = 0.25) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query the k nearest other rows found, by Euclidean distance."""
-    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("ask")).where("vec_id is not null").where(V.usable("embedding"))
+    kind = V.element_kind(vectors.schema["embedding"].dataType)
+    vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("ask")).where("vec_id is not null").where(V.usable("embedding"))
     per = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if per is None:
@@ -209,14 +215,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     distinct = vectors.select("embedding").distinct()
     centroids = balanced(V.sample(distinct, "embedding", distinct.count()), max(1, min(MAX_LISTS, n // LIST)))
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    bases = vectors.select("vec_id", "embedding").withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
+    bases = vectors.select("vec_id", "embedding").distinct().withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
     span = max(1, BLOCK * len(centroids) // (n * copies))  # lists of about BLOCK vectors together, with their copies
     groups = -(-len(centroids) // span)
-    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies, span), "vec_id long, embedding array<double>, group long"), "ann-postings")
+    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies, span), f"vec_id long, embedding {kind}, group long"), "ann-postings")
     sizes = _counts(posted, groups)
     asked = vectors.where("ask").select("vec_id", "embedding")
     classes = persist_table(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "ann-queries")
-    routes = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, max(lists, math.ceil(share * len(centroids))), least, span), "vec_id long, embedding array<double>, groups array<long>"), "ann-routes")
+    routes = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, max(lists, math.ceil(share * len(centroids))), least, span), f"vec_id long, embedding {kind}, groups array<long>"), "ann-routes")
     routed = routes.select("vec_id", "embedding", F.explode("groups").alias("group"))
 
     def parts(count: np.ndarray) -> Column:
@@ -225,7 +231,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     b_parts, q_parts = parts(sizes), parts(_counts(routed, groups))
 
     def placed(df: DataFrame, own: Column, others: Column, ask: bool) -> DataFrame:
-        both = df.withColumns({"_own": F.pmod(F.xxhash64("vec_id"), own), "_other": F.explode(F.sequence(F.lit(0), others - 1))})
+        both = df.withColumns({"_own": F.pmod(F.xxhash64("vec_id", "embedding"), own), "_other": F.explode(F.sequence(F.lit(0), others - 1))})
         b, q = ("_other", "_own") if ask else ("_own", "_other")
         return both.select(F.concat_ws(":", "group", b, q).alias("block"), "vec_id", "embedding", F.lit(ask).alias("ask"))
 

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 20_000  # vectors that an index is fitted on at most
 
@@ -13,10 +14,15 @@ SAMPLE = 20_000  # vectors that an index is fitted on at most
 def usable(col: str) -> Column:
     """The vector is neither null nor empty nor zero and holds finite numbers only (DataFrame functions; null counts as false)."""
     v = F.col(col)
-    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     return F.coalesce((F.size(v) > 0) & ~odd & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def element_kind(kind: T.DataType) -> str:
+    """The array type vectors travel in: single-precision ones stay so, which halves what is shuffled; all others become double."""
+    return "array<float>" if kind == T.ArrayType(T.FloatType(), kind.containsNull if isinstance(kind, T.ArrayType) else True) else "array<double>"
+
+
 def matrix(lists) -> np.ndarray:
     """(rows, dimension) float64 of a list column whose rows have one length and no nulls."""
     if isinstance(lists, pa.ChunkedArray):
@@ -33,7 +39,8 @@ def sample(vectors: DataFrame, column: str, n: int) -> np.ndarray:
     rank = F.pmod(F.xxhash64(column), F.lit(1 << 40))
     share = min(1.0, 0.9 * SAMPLE / max(1, n))
     rows = vectors.where(rank < int(share * (1 << 40))).select(column).limit(SAMPLE).toArrow()
-    return matrix(rows.column(0))
+    out = matrix(rows.column(0))
+    return out[np.lexsort(out.T)]  # the same order however the rows lie
 
 
 def unit(x: np.ndarray) -> np.ndarray:
