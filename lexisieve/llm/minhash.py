@@ -10,15 +10,16 @@ confirmed on the full shingle sets.
 Plan: documents with equal sets fall into one class (map-side combined
 aggregate), classes are exploded into bands, each bucket names its smallest
 member, and the star edges to it give candidate groups.  A candidate group is
-compared exactly inside one task while it is small.  A larger one is dealt
+compared exactly inside one task while it is small, by the rarest shingles of each set.  A larger one is dealt
 out in chunks that share a few pivots; whatever the pivots have not tied to
 the group's main component is then compared with all of the group, block by
 block.  No pair is ever a row of a table: tasks return spanning edges.
 
 Defined results: a null or blank text has an empty set and links with
 nothing; a row with a null doc_id links with nothing, its component_id is null
-and it is kept; rows sharing a doc_id count as one document; extra columns are
-ignored; an empty table gives an empty result.
+and it is kept; rows sharing a doc_id count as one document (their n_shingles
+are those of their own texts); extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexisieve.llm import arrays as A
-from lexisieve.llm.spark_utils import connected_components, discard, persist_table
+from lexisieve.llm.spark_utils import connected_components, persist_table
 
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 SMALL = 600  # documents of a candidate group, or of a chunk of one, compared in one task
+LONG = 4000  # shingles from which on a document counts as several of them
 PIVOTS = 64
 
 
@@ -119,41 +121,44 @@ def set_maker(k: int):
     return run
 
 
-class Forest:
-    """Union-find over 0 .. n-1 that remembers the spanning edges."""
-
-    def __init__(self, n: int):
-        self.parent, self.edges = list(range(n)), []
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.find(x), self.find(y)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
-
-
 def linked(sets: list[np.ndarray], queries: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning edges among sets of the links that queries have with any set: 100 * intersection >= percent * union."""
+    """Spanning edges among sets of the links that queries have with any set: 100 * intersection >= percent * union.
+
+    Two linked sets share one of their rarest shingles: with at least
+    percent / 100 of either set in common, one of the first n - ceil(percent *
+    n / 100) + 1 of each in order of rarity is common.  Sets that meet there
+    and aren't in one tree yet are counted in full.
+    """
     sizes = np.array([len(s) for s in sets])
-    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(codes, kind="stable")
-    postings, first = owner[order], np.concatenate(([0], np.cumsum(np.bincount(codes))))
     off = np.concatenate(([0], np.cumsum(sizes)))
-    forest = Forest(len(sets))
+    _, codes, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_rarity = np.empty(len(counts), np.int64)
+    by_rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ranks = by_rarity[codes]
+    order = np.lexsort((ranks, owner))
+    ranks = ranks[order]  # each set's shingles, the rarest first
+    head = sizes + (-percent * sizes) // 100 + 1
+    early = np.flatnonzero(np.arange(len(ranks)) - off[owner] < head[owner])
+    early = early[np.argsort(ranks[early], kind="stable")]
+    postings, first = owner[early], np.concatenate(([0], np.cumsum(np.bincount(ranks[early], minlength=len(counts)))))
+    root, edges, flag = np.arange(len(sets)), [], np.zeros(len(counts), bool)
     for q in queries:
-        at, _ = A.ragged(first, codes[off[q] : off[q + 1]])
-        common = np.bincount(postings[at], minlength=len(sets))
-        for m in np.flatnonzero(100 * common >= percent * (sizes[q] + sizes - common)):
-            if m != q:
-                forest.join(int(q), int(m))
-    return forest.edges
+        at, _ = A.ragged(first, ranks[off[q] : off[q] + head[q]])
+        near = np.unique(postings[at])
+        near = near[(root[near] != root[q]) & (100 * np.minimum(sizes[near], sizes[q]) >= percent * np.maximum(sizes[near], sizes[q]))]
+        if not len(near):
+            continue
+        own = ranks[off[q] : off[q + 1]]
+        flag[own] = True
+        at, cuts = A.ragged(off, near)
+        common = np.add.reduceat(flag[ranks[at]].astype(np.int64), cuts[:-1])
+        flag[own] = False
+        for m in near[100 * common >= percent * (sizes[q] + sizes[near] - common)]:
+            if root[m] != root[q]:
+                root[root == root[m]] = root[q]
+                edges.append((int(q), int(m)))
+    return edges
 
 
 def comparer(percent: int):
@@ -201,13 +206,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40,
     same = usable.join(classes.select(*key, "rep"), key).groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("u", "v")
     same = persist_table(same, "minhash-same")
     groups = connected_components(stars.unionByName(same))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), "size")
+    members = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))
     # members grow with the corpus: a sort-merge join at any size
     sets = docs.join(members.hint("merge"), "doc_id").select("doc_id", "grp", "text").mapInArrow(set_maker(k), "id long, grp long, shingles binary")
-    sets = persist_table(sets.join(sizes.withColumnRenamed("component", "grp"), "grp"), "minhash-sets")
+    sets = persist_table(sets.distinct(), "minhash-sets")
+    each = F.greatest(F.lit(1), F.ceil(F.length("shingles") / (8 * LONG)))  # what a document counts as
+    sizes = persist_table(sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum(each).alias("size")), "minhash-sizes")
+    sets = sets.join(sizes, "grp")
 
-    n_small = sets.where(F.col("size") <= SMALL).count()
+    n_small = sizes.where(F.col("size") <= SMALL).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks = max(1, n_small // 300)
     small = sets.where(F.col("size") <= SMALL).select(F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("string").alias("block"), "grp", "id", "shingles", F.lit(True).alias("query"))
     edges = _compare(small, percent)
@@ -222,25 +229,24 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 40,
         .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
-    discard(sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _large_links(large: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     """Links inside candidate groups of more than SMALL documents, added to edges."""
     n_chunks = F.ceil(F.col("size") / SMALL).cast("int")
-    large = large.withColumn("chunks", n_chunks).withColumn("rank", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    large = large.select("grp", "id", "shingles", "n", n_chunks.alias("chunks")).withColumn("rank", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
     dealt = large.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("chunks")))
     own = dealt.select(F.concat_ws(":", "grp", "chunk").alias("block"), "grp", "id", "shingles", F.lit(True).alias("query"))
     # about PIVOTS documents of each group go to all its chunks
-    pivots = large.where(F.col("rank") * F.col("size") < F.lit(PIVOTS) * F.lit(1 << 40))
+    pivots = large.where(F.col("rank") * F.col("n") < F.lit(PIVOTS) * F.lit(1 << 40))
     shared = pivots.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select(F.concat_ws(":", "grp", "chunk").alias("block"), "grp", "id", "shingles", F.lit(True).alias("query"))
     first = persist_table(_compare(own.unionByName(shared), percent).unionByName(edges), "minhash-links")
     labels = connected_components(first)
 
     named = dealt.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = named.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("grp").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    per = named.groupBy("grp", "component").agg(F.count("*").alias("many"))
+    main = per.groupBy("grp").agg(F.max_by("component", F.struct("many", "component")).alias("main"))
     rest = persist_table(named.join(main, "grp").where("component <> main"), "minhash-rest")
     counts = rest.groupBy("grp").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("q_blocks"))
     ask = rest.join(counts, "grp").withColumn("q", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("q_blocks")))
@@ -250,7 +256,11 @@ def _large_links(large: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each near-duplicate group, documents without words among them."""
-    kept = components(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return joined
+    """The rows of docs that stay: one document of each near-duplicate group, documents without words among them.
+
+    Of repeated rows, equal in doc_id and text, one stays; rows of one kept
+    doc_id with different texts, and rows without a doc_id, all stay.
+    """
+    kept = components(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null"))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexisieve.llm import arrays, bpe, chunks, langid, lm, minhash, packing, pretokens, secrets, substring
+from lexisieve.llm.spark_utils import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -82,10 +83,50 @@ def test_minhash_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, "A b c d"), (7, None)], "doc_id long, text string").withColumn("band", F.lit(1)).withColumn("rep", F.lit(2))
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in minhash.components(df).collect())
     assert got == [("2", "2", True), ("3", "2", False), ("3", "2", False), ("7", "7", True), ("None", "None", True)]
-    assert minhash.near_duplicates(df).columns == df.columns and minhash.near_duplicates(df).count() == 3
+    assert minhash.near_duplicates(df).columns == df.columns and minhash.near_duplicates(df).count() == 3  # 2, 7 and the one without an id
     assert minhash.components(df.where("false")).count() == 0
 
 
+def test_components_of_a_long_shuffled_chain(spark):
+    rng, n = np.random.default_rng(2), 5000
+    ids = rng.permutation(n) * 7
+    edges = [(int(a), int(b)) for a, b in zip(ids[:-1], ids[1:])] + [(100_001, 100_003), (100_003, 100_002), (100_009, 100_009)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {int(i): 0 for i in ids} | dict.fromkeys((100_001, 100_002, 100_003), 100_001)
+
+
+def test_minhash_follows_a_long_chain(spark):
+    rng, n = random.Random(6), 400
+    ids = rng.sample(range(n), n)
+    rows = [(ids[i], " ".join(f"w{j}" for j in range(2 * i, 2 * i + 60))) for i in range(n)]  # neighbours share 56 of 60 five-word shingles
+    assert {r["component_id"] for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_linked_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85, 100):
+        base = [np.sort(rng.choice(4000, rng.integers(1, 80), replace=False)).astype(np.uint64) for _ in range(12)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.08, rng.integers(0, 4000, len(b)).astype(np.uint64), b)) for b in base for _ in range(6)] + [np.arange(3000, dtype=np.uint64)] * 2
+        n = len(sets)
+        links = [(a, b) for a in range(n) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))]
+
+        def trees(edges):
+            root = list(range(n))
+            for a, b in edges:
+                x, y = root[a], root[b]
+                root = [y if r == x else r for r in root]
+            return {frozenset(i for i in range(n) if root[i] == r) for r in root}
+
+        got = minhash.linked(sets, np.arange(n), percent)
+        assert trees(got) == trees(links) and len(got) < n
+
+
+def test_near_duplicates_drops_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "A b c d e f"), (3, "other"), (3, "texts"), (None, "x"), (None, "x")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [("1", "a b c d e f"), ("3", "other"), ("3", "texts"), ("None", "x"), ("None", "x")]
+
+
 def brute_repeats(texts, size=20):
     seen, out = set(), {}
     for i, t in sorted(texts, key=lambda x: x[0]):
@@ -286,6 +327,49 @@ def test_forward_sums_all_segmentations():
     assert math.isclose(math.exp(langid.log_likelihoods(finder, p, ["▁ab"])[0, 0]), want, rel_tol=1e-9)
 
 
+def test_language_id_of_long_runs_in_any_script(spark):
+    runs = {"zh": "天地玄黄宇宙洪荒日月盈昃辰宿列张" * 5, "am": "ሀለሐመሠረሰሸቀበተቸኀነኘአከኸወዐዘዠየደጀገጠጨጰጸፀፈፐ" * 3, "th": "กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ" * 2}
+    base = [("en", "the quick brown fox jumps over the lazy dog again"), ("de", "der schnelle braune fuchs springt über den faulen hund")] * 4
+    for poison in ([], list(runs.items())):
+        rows = [(i, t, lang) for i, (lang, t) in enumerate(base + poison)]
+        model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        ask = spark.createDataFrame([(1, "the quick brown fox"), (2, "der braune hund"), *[(10 + i, t * 3) for i, t in enumerate(runs.values())]], "doc_id long, text string")
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(ask, model).collect()}
+        assert all(0 <= s <= 1 for _, s in got.values()) and np.isfinite(model.p).all()
+        assert (got[1][0], got[2][0]) == ("en", "de")
+        if poison:
+            assert [got[10 + i][0] for i in range(3)] == list(runs)
+
+
+def segmentations(word, probability):
+    if not word:
+        return 1.0
+    return sum(probability(word[:n]) * segmentations(word[n:], probability) for n in range(1, len(word) + 1))
+
+
+def test_likelihood_is_the_sum_over_all_segmentations():
+    rng = random.Random(9)
+    pieces = ["▁", *{"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)}, "▁a", "▁ba"]
+    finder = langid.Pieces(pieces)
+    p = np.random.default_rng(1).random((finder.n + 2, 2)) * 0.2
+    p[finder.n], p[finder.n + 1] = 0, langid.UNKNOWN
+    place = {x: i for i, x in enumerate(finder.pieces)}
+    words = ["▁" + "".join(rng.choice("abcz") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    got = langid.log_likelihoods(finder, p, words)
+    for w, row in zip(words, got):
+        for c in range(2):
+            want = segmentations(w, lambda s: p[place[s], c] if s in place else (langid.UNKNOWN if len(s) == 1 else 0.0))
+            assert math.isclose(row[c], math.log(want), rel_tol=1e-9)
+
+
+def test_expected_counts_of_long_words_equal_those_of_short_scaling(monkeypatch):
+    texts = [("aa", "abcabcabcabcabcabc bca ab"), ("bb", "cbacbacbacba cab")] * 3
+    pieces = ["▁", "a", "b", "c", "ab", "bc", "ca", "abc", "cba", "▁ab"]
+    want = langid.fit(texts, pieces).p
+    monkeypatch.setattr(langid, "SCALED", 3)
+    assert np.allclose(langid.fit(texts, pieces).p, want, rtol=1e-9)
+
+
 def test_lm(docs, texts, spark):
     flagged = docs.withColumns({"held": langid.held_out(F.col("doc_id"), 7, 2)}).withColumn("learn", ~F.col("held"))
     got = {r["doc_id"]: r for r in lm.score(flagged, "learn").collect()}

@@ -55,11 +55,27 @@ def test_neardup_equals_brute_force(spark, rows, monkeypatch):
 def test_neardup_edges(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (2, [2.0, 0.0]), (4, [1.0, 0.0])], SCHEMA)
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in neardup.near_duplicates(df).collect())
-    assert got == [("2", 2, "2", True), ("4", 2, "2", False), ("4", 2, "2", False), ("None", 0, "None", True)]
+    assert got == [("2", 1, "2", True), ("4", 1, "2", False), ("4", 1, "2", False), ("None", 0, "None", True)]
     assert neardup.near_duplicates(df.where("false")).count() == 0
     assert neardup.near_duplicates(df.withColumn("embedding", F.lit(None).cast("array<float>"))).where("kept").count() == 4
 
 
+def test_neardup_counts_rows_of_one_vector_once(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0])] * 12 + [(6, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.1]), (9, [0.0, 2.0])], SCHEMA)
+    got = sorted({(r["vec_id"], r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()})
+    assert got == [(5, 2, 5), (6, 2, 5), (7, 1, 7), (7, 2, 5), (9, 1, 7)]
+
+
+def test_neardup_follows_a_long_chain(spark):
+    rng, n = np.random.default_rng(8), 300
+    ids, at = rng.permutation(n), np.arange(n + 12)
+    x = [((at >= i) & (at < i + 12)).astype(float).tolist() for i in range(n)]  # neighbours share 11 of 12 ones: cosine 0.917
+    df = spark.createDataFrame([(int(ids[i]), x[i]) for i in range(n)], SCHEMA)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert {c for _, c in got.values()} == {0}
+    assert sorted(n for n, _ in got.values()) == [1, 1] + [2] * (n - 2)
+
+
 def test_neardup_decides_at_the_threshold_in_double_precision(spark):
     def at(cosine, axis):
         v = [0.0] * 8
@@ -102,6 +118,12 @@ def test_ann_edges(spark):
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_ann_counts_rows_of_one_vector_once(spark):
+    rows = [(0, [0.0, 1.0])] + [(5, [1.0, 1.0])] * 12 + [(i, [1.0, 1.0]) for i in (6, 7, 8, 9)] + [(300, [4.0, 4.0]), (301, [9.0, 9.0]), (301, [0.0, 1.5])]
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") == 0).collect())
+    assert got == [(1, 301, 0.5), (2, 5, 1.0), (3, 6, 1.0), (4, 7, 1.0), (5, 8, 1.0), (6, 9, 1.0), (7, 300, 5.0)]
+
+
 def test_ann_recall_does_not_fall_with_the_number_of_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "LIST", 8)
     monkeypatch.setattr(ann, "BLOCK", 64)
