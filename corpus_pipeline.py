@@ -8,13 +8,14 @@ documents.  n_chars follows the text where a stage changes it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexisieve.llm import langid, minhash, packing, secrets, substring
-from lexisieve.llm.spark_utils import persist_table
+from lexisieve.llm.spark_utils import discard, settled
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CERTAIN = 0.5  # least probability of the predicted language
@@ -27,7 +28,8 @@ def _changed(docs: DataFrame, flag) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter, or whose language is in doubt, go."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"), 3, 1)))
-    return langid.identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= CERTAIN)).select(*COLUMNS)
+    certain = (F.col("score") >= CERTAIN) & ~F.isnan("score")  # Spark orders NaN above all numbers
+    return langid.identify(docs, model).where((F.col("lang_pred") != "und") & certain).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +66,11 @@ ORACLE_SQL = None  # neither the language model nor the packing can be said in S
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = persist_table(docs, f"pipeline-{name}")
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        kept = settled(functools.partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = kept
     return docs
 
 
