@@ -2,15 +2,20 @@
 
 Documents of more than `size` tokens are cut into pieces of `size`, the first
 of which may be shorter; full pieces fill a sequence each.  The rest is dealt
-into shards of bounded size.  On each shard several islands evolve packings
-whose genes are whole bins: crossover injects well-filled bins of one parent
-into another, removes the bins that held the same documents, and puts the
-displaced documents back by best fit; mutation empties the worst bins.  At the
-end of each epoch an island's elite moves on to the next island.  An island
-stops early when the bins reach the lower bound, ceil(tokens / size).  Between
-two passes the bins that are nearly full stay and the documents of the others
-migrate to fewer, newly dealt shards, so that at most the last pass leaves a
-bin per shard badly filled.
+into shards of bounded size.  Best fit packs each shard; where that takes more
+bins than the lower bound, ceil(tokens / size), the bins that are not full, and
+some of many documents that are, are opened to evolution.  Genes are whole
+bins: crossover injects well-filled bins of one parent into another, removes
+the bins that held the same documents, swaps displaced documents into other
+bins where they leave less room, and puts the rest back by best fit; mutation
+empties the worst bins.
+
+A shard has several islands, each with a population of its own and each a
+group of the cluster's: an epoch is one shuffle, which hands every island its
+population and the elite of the island before it.  The best of all islands is
+the shard's packing.  Between two passes the bins that are nearly full stay and
+the documents of the others migrate to fewer, newly dealt shards, so that at
+most the last pass leaves a bin per shard badly filled.
 
 Only identifiers and lengths are shuffled, never token ids.
 
@@ -23,20 +28,22 @@ from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisieve.llm import arrays as A
 from lexisieve.llm.pretokens import worker_encoder
 from lexisieve.llm.spark_utils import persist_table
 
-SHARD = 4000  # pieces evolved together
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 3, 3, 3
-PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-PACKED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+SHARD = 4000  # pieces packed together
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 3, 4, 2, 6
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PACKED = "id long, length long, shard long, bin int, fill int, open int"
+STATE = "shard long, island int, bins int, evenness double, plan binary"
 
 
 def default_tokenizer() -> str:
@@ -72,7 +79,7 @@ def _tokenise(tokenizer_json: str, end: int, size: int):
     def run(batches):
         encoder = worker_encoder(name, lambda: model_encoder(tokenizer_json))
         for batch in batches:
-            doc, row, text = batch.columns
+            doc, text = batch.columns
             for i, j in A.pieces(text, 2 << 20):
                 ids, off = encoder.encode(text.slice(i, j - i))
                 rows, out = [], []
@@ -84,7 +91,7 @@ def _tokenise(tokenizer_json: str, end: int, size: int):
                         out.append((k, a, b - a, zlib.crc32(own[a:b].tobytes())))
                 k, a, n, crc = zip(*out, strict=True)
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([doc.take(take), row.take(take), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([doc.take(take), pa.array(k, pa.int32()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
@@ -132,110 +139,190 @@ class Bins:
         return -len(self.bins), sum([((self.size - r) / self.size) ** 2 for r in self.room])
 
 
+def swap_in(length: list[int], size: int, bins: list[list[int]], free: list[int]) -> list[int]:
+    """Replaces one or two items of a bin by one of the free ones where that leaves less room; the items free afterwards."""
+    free = sorted(free, key=length.__getitem__)
+    sizes = [length[i] for i in free]
+    for items in bins:
+        room = size - sum([length[i] for i in items])
+        if not room or not free:
+            continue
+        gain, out, at = 0, (), 0
+        for x, i in enumerate(items):
+            for pair in ((i,), *[(i, k) for k in items[:x]]):
+                had = sum([length[k] for k in pair])
+                place = bisect_right(sizes, had + room) - 1
+                if place >= 0 and sizes[place] - had > gain:
+                    gain, out, at = sizes[place] - had, pair, place
+        if gain:
+            items[:] = [i for i in items if i not in out] + [free.pop(at)]
+            del sizes[at]
+            for i in out:
+                place = bisect_right(sizes, length[i])
+                sizes.insert(place, length[i])
+                free.insert(place, i)
+    return free
+
+
+def _rebuilt(a: Bins, kept: list[list[int]], free: list[int], injected: list[list[int]]) -> Bins:
+    free = swap_in(a.length, a.size, kept, free)
+    child = Bins(a.length, a.size)
+    for items in kept + injected:
+        child.add(items)
+    child.best_fit(free)
+    return child
+
+
 def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
     """A child of a with some of b's well-filled bins injected."""
     order = sorted(range(len(b.bins)), key=b.room.__getitem__)
     top = order[: max(1, len(order) // 2)]
-    injected = [b.bins[k] for k in rng.sample(top, max(1, len(top) // 2))]
+    injected = [list(b.bins[k]) for k in rng.sample(top, max(1, len(top) // 2))]
     taken = {i for items in injected for i in items}
-    child, displaced = Bins(a.length, a.size), []
+    kept, displaced = [], []
     for items in a.bins:
         if taken.isdisjoint(items):
-            child.add(list(items))
+            kept.append(list(items))
         else:
             displaced += [i for i in items if i not in taken]
-    for items in injected:
-        child.add(list(items))
-    child.best_fit(displaced)
-    return child
+    return _rebuilt(a, kept, displaced, injected)
 
 
-def mutate(a: Bins, rng: random.Random) -> Bins:
-    """A copy of a whose worst bins, and a few others, were emptied and packed anew."""
+def mutate(a: Bins, rng: random.Random, share: int = 20) -> Bins:
+    """A copy of a whose worst bins, one of `share`, and as many others were emptied and packed anew."""
     order = sorted(range(len(a.bins)), key=a.room.__getitem__, reverse=True)
-    n = max(2, len(order) // 50)
-    gone = set(order[:n]) | set(rng.sample(order, min(n, len(order))))
-    child = Bins(a.length, a.size)
-    for k, items in enumerate(a.bins):
-        if k not in gone:
-            child.add(list(items))
-    displaced = [i for k in gone for i in a.bins[k]]
-    rng.shuffle(displaced)
-    child.best_fit(displaced)
-    return child
+    n = min(len(order), max(2, len(order) // share))
+    gone = set(order[:n]) | set(rng.sample(order, n))
+    return _rebuilt(a, [list(items) for k, items in enumerate(a.bins) if k not in gone], [i for k in sorted(gone) for i in a.bins[k]], [])
+
+
+def packed_bins(length: list[int], size: int, plan: list[int]) -> Bins:
+    """The packing that puts item i into bin plan[i]."""
+    bins: dict[int, list[int]] = {}
+    for i, b in enumerate(plan):
+        bins.setdefault(b, []).append(i)
+    out = Bins(length, size)
+    for b in sorted(bins):
+        out.add(bins[b])
+    return out
+
+
+def first_population(seed: Bins, rng: random.Random) -> list[Bins]:
+    return [seed, *[mutate(seed, rng, 4) for _ in range(POPULATION - 1)]]
 
 
-def evolve(length: list[int], size: int, seed: int) -> list[list[int]]:
-    """Bins of item numbers, as few as the islands find."""
-    if not length:
-        return []
-    rng, bound = random.Random(seed), -(-sum(length) // size)
-
-    def fresh(first: bool) -> Bins:
-        out = Bins(length, size)
-        if first:
-            out.best_fit(list(range(len(length))))
-        else:  # some documents placed at random first
-            items = list(range(len(length)))
-            rng.shuffle(items)
-            k = len(items) // 8
-            for i in items[:k]:
-                out.best_fit([i])
-            out.best_fit(items[k:])
-        return out
-
-    best = fresh(True)
-    if len(best.bins) == bound:
-        return best.bins
-    islands = [[best if i == 0 else fresh(False), *(fresh(False) for _ in range(POPULATION - 1))] for i in range(ISLANDS)]
-    for _ in range(EPOCHS):
-        for group in islands:
-            for _ in range(GENERATIONS):
-                a, b = rng.sample(group, 2)
-                child = crossover(a, b, rng)
-                if rng.random() < 0.5:
-                    child = mutate(child, rng)
-                worst = min(range(len(group)), key=lambda k: group[k].fitness())
-                if child.fitness() > group[worst].fitness():
-                    group[worst] = child
-        elites = [max(group, key=Bins.fitness) for group in islands]
-        best = max([best, *elites], key=Bins.fitness)
-        if len(best.bins) == bound:
+def generations(population: list[Bins], target: int, rng: random.Random, n: int) -> list[Bins]:
+    """The population after n children, or as soon as one has `target` bins; a child takes the place of the worst."""
+    population = list(population)
+    for _ in range(n):
+        if len(population) < 2 or min(len(p.bins) for p in population) <= target:
             break
-        for i, elite in enumerate(elites):  # the elite moves on to the next island
-            group = islands[(i + 1) % ISLANDS]
-            group[min(range(len(group)), key=lambda k: group[k].fitness())] = elite
-    return best.bins
+        a, b = rng.sample(population, 2)
+        child = crossover(a, b, rng)
+        if rng.random() < 0.5:
+            child = mutate(child, rng)
+        worst = min(range(len(population)), key=lambda k: population[k].fitness())
+        if child.fitness() > population[worst].fitness():
+            population[worst] = child
+    return population
 
 
-def _packer(size: int, number: int):
+def _seed(size: int):
+    """The pieces of one shard -> their bins by best fit, and which are open to evolution."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("length", "descending"), ("id", "ascending")])
         length = table.column("length").to_pylist()
         full = sum(n == size for n in length)
-        bins = [[i] for i in range(full)] + [[full + i for i in b] for b in evolve(length[full:], size, key[0].as_py())]
+        rest = Bins(length, size)
+        rest.best_fit(list(range(full, len(length))))
+        bins = [[i] for i in range(full)] + rest.bins
+        room = [0] * full + rest.room
+        opened: set[int] = set()
+        if len(rest.bins) > -(-sum(length[full:]) // size):
+            opened = {b for b, r in enumerate(room) if r}
+            perfect = sorted((b for b, r in enumerate(room) if not r and len(bins[b]) > 1), key=lambda b: (-len(bins[b]), b))
+            opened |= set(perfect[: len(opened) // 2])
         n = len(length)
-        seq, offset, fill = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        number, fill, is_open = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         for b, items in enumerate(bins):
-            at = 0
-            for i in items:
-                seq[i], offset[i] = b, at
-                at += length[i]
-            fill[items] = at
-        base = (2 * key[0].as_py() + number) << 24
-        kept = [c for c in table.column_names if c in ("doc_id", "row", "piece", "start", "length", "ids_crc32")]
-        return pa.table({c: table.column(c) for c in kept} | {"sequence_id": pa.array(seq + base), "offset": pa.array(offset), "fill": pa.array(fill)})
+            number[items], fill[items], is_open[items] = b, size - room[b], b in opened
+        return pa.table({"id": table.column("id"), "length": table.column("length"), "shard": pa.array([key[0].as_py()] * n, pa.int64()), "bin": pa.array(number), "fill": pa.array(fill), "open": pa.array(is_open)})
+
+    return run
+
+
+def _items(table: pa.Table) -> tuple[pa.Table, list[int], list[int]]:
+    """The open pieces of one shard in their fixed order, their lengths and their bins by best fit."""
+    table = table.sort_by([("length", "descending"), ("id", "ascending")])
+    return table, table.column("length").to_pylist(), table.column("bin").to_pylist()
+
+
+def _plan(bins: Bins) -> bytes:
+    out = np.zeros(len(bins.length), np.int32)
+    for b, items in enumerate(bins.bins):
+        out[items] = b
+    return out.tobytes()
+
+
+def _epoch(size: int, number: int):
+    """One island's pieces and population (its own and a migrant) -> its next population, and its elite for the next island."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, state: pa.Table) -> pa.Table:
+        shard, island = key[0].as_py(), key[1].as_py()
+        _, length, seed = _items(table)
+        rng = random.Random(f"{shard}:{island}:{number}")
+        plans = sorted(zip(state.column("bins").to_pylist(), state.column("evenness").to_pylist(), state.column("plan").to_pylist(), strict=True), key=lambda x: (x[0], -x[1], x[2]))
+        population = [packed_bins(length, size, np.frombuffer(p, np.int32).tolist()) for _, _, p in plans[:POPULATION]]
+        if not population:
+            population = first_population(packed_bins(length, size, seed), rng)
+        population = generations(population, -(-sum(length) // size), rng, GENERATIONS)
+        elite = max(population, key=Bins.fitness)
+        rows = [(island, p) for p in population] + [((island + 1) % ISLANDS, elite)]
+        return pa.table({
+            "shard": pa.array([shard] * len(rows), pa.int64()),
+            "island": pa.array([i for i, _ in rows], pa.int32()),
+            "bins": pa.array([len(p.bins) for _, p in rows], pa.int32()),
+            "evenness": pa.array([p.fitness()[1] for _, p in rows]),
+            "plan": A.binaries([_plan(p) for _, p in rows]),
+        })
+
+    return run
+
+
+def _settle(size: int):
+    """One shard's pieces by best fit and its best plan for the open ones -> the shard's packing, open pieces in bins of their own numbers."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, best: pa.Table) -> pa.Table:
+        table = table.append_column("at", pa.array(np.arange(len(table))))
+        number, fill = table.column("bin").to_numpy().copy(), table.column("fill").to_numpy().copy()
+        is_open = table.column("open").to_numpy() > 0
+        if len(best):
+            part, length, _ = _items(table.filter(pa.array(is_open)))
+            plan, at = np.frombuffer(best.column("plan")[0].as_py(), np.int32), part.column("at").to_numpy()
+            number[at] = plan + (number.max() + 1)
+            fill[at] = np.bincount(plan, weights=length)[plan]
+        out = {c: table.column(c) for c in ("id", "length", "shard")}
+        return pa.table(out | {"bin": pa.array(number, pa.int32()), "fill": pa.array(fill, pa.int32()), "open": pa.array(is_open.astype(np.int32))})
 
     return run
 
 
-def _dealt(pieces: DataFrame, shards: int, salt: int) -> DataFrame:
-    return pieces.withColumn("shard", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "row", "piece"), F.lit(shards)))
+def evolved(pieces: DataFrame, shards: int, salt: int, size: int) -> DataFrame:
+    """(id, length, shard, bin, fill, open) of pieces (id, length), dealt into shards and packed."""
+    dealt = pieces.select("id", "length").withColumn("shard", F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(shards)))
+    seeds = persist_table(dealt.groupBy("shard").applyInArrow(_seed(size), PACKED), "packing-seeds")
+    items = seeds.where("open = 1").select("id", "length", "shard", "bin", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
+    state = seeds.sparkSession.createDataFrame([], STATE)
+    for epoch in range(EPOCHS):
+        state = persist_table(items.groupBy("shard", "island").cogroup(state.groupBy("shard", "island")).applyInArrow(_epoch(size, epoch), STATE), "packing-state")
+    best = state.groupBy("shard").agg(F.min_by("plan", F.struct("bins", F.negate("evenness"), "plan")).alias("plan"))
+    return seeds.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(_settle(size), PACKED)
 
 
 def tokenised(docs: DataFrame, tokenizer_json: str, end: int = 2, size: int = 1024) -> DataFrame:
-    """(doc_id, row, piece, start, length, ids_crc32) of all pieces; row tells documents of one doc_id apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    """(doc_id, piece, start, length, ids_crc32) of all pieces."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_tokenise(tokenizer_json, end, size), PIECES)
 
 
@@ -243,14 +330,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end: int = 2, size: int
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its text by the tokenizers file at `tokenizer`,
-    without special tokens, then `end`.
+    without special tokens, then `end`.  Pieces are numbered once and for all
+    as their table is written, and dealt by that number.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        pieces = persist_table(tokenised(docs, f.read(), end, size), "packing-pieces")
-    n = pieces.count()
-    first = _dealt(pieces, max(1, n // SHARD), 1).groupBy("shard").applyInArrow(_packer(size, 0), PACKED)
-    first = persist_table(first, "packing-first")
+        pieces = persist_table(tokenised(docs, f.read(), end, size).withColumn("id", F.monotonically_increasing_id()), "packing-pieces")
+    first = persist_table(evolved(pieces, max(1, pieces.count() // SHARD), 1, size), "packing-first")
     loose = first.where(F.col("fill") < nearly * size)
-    again = _dealt(loose.drop("sequence_id", "offset", "fill"), max(1, loose.count() // SHARD), 2)
-    second = again.groupBy("shard").applyInArrow(_packer(size, 1), PACKED)
-    return first.where(F.col("fill") >= nearly * size).unionByName(second).drop("row", "fill")
+    second = evolved(loose, max(1, loose.count() // SHARD), 2, size)
+    both = first.where(F.col("fill") >= nearly * size).withColumn("pass", F.lit(0)).unionByName(second.withColumn("pass", F.lit(1)))
+    sequence = (F.col("shard") * 2 + F.col("pass")) * (1 << 24) + F.col("bin")
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("id")) - F.col("length")
+    placed = both.select("id", "length", sequence.alias("sequence_id")).withColumn("offset", before).select("id", "sequence_id", "offset")
+    return pieces.join(placed, "id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -277,15 +277,42 @@ def test_packing(docs, texts):
     assert packing.pack(docs.where("false")).count() == 0
 
 
-def test_genetic_algorithm_beats_or_equals_best_fit():
+def best_fit(length):
+    out = packing.Bins(length, 1024)
+    out.best_fit(list(range(len(length))))
+    return out
+
+
+def test_genetic_operators_keep_every_item_once():
     rng = random.Random(2)
     for _ in range(5):
         length = [rng.choice([rng.randint(1, 100), rng.randint(200, 700), 341, 342, 512]) for _ in range(300)]
-        plain = packing.Bins(length, 1024)
-        plain.best_fit(list(range(len(length))))
-        best = packing.evolve(length, 1024, 1)
-        assert sorted(i for b in best for i in b) == list(range(len(length)))
-        assert all(sum(length[i] for i in b) <= 1024 for b in best) and len(best) <= len(plain.bins)
+        seed = best_fit(length)
+        population = packing.first_population(seed, rng)
+        for child in [*population, packing.crossover(population[0], population[1], rng), *packing.generations(population, 0, rng, 10)]:
+            assert sorted(i for b in child.bins for i in b) == list(range(len(length)))
+            assert all(sum(length[i] for i in b) == 1024 - r for b, r in zip(child.bins, child.room)) and min(child.room) >= 0
+        assert min(len(p.bins) for p in packing.generations(population, 0, rng, 20)) <= len(seed.bins)
+
+
+def test_islands_beat_best_fit_on_shards_above_the_bound(spark):
+    rng, rows = random.Random(11), []
+    for _ in range(6000):
+        rows.append((len(rows), min(1023, max(1, int(rng.lognormvariate(5.9, 0.75))))))
+    pieces = spark.createDataFrame(rows, "id long, length long")
+    got = packing.evolved(pieces, 3, 1, 1024).collect()
+    assert sorted(r["id"] for r in got) == list(range(len(rows)))
+    saved = above = 0
+    for shard in {r["shard"] for r in got}:
+        own = [r for r in got if r["shard"] == shard]
+        length = sorted((r["length"] for r in own), reverse=True)
+        bins, plain, bound = Counter(r["bin"] for r in own), len(best_fit(length).bins), -(-sum(length) // 1024)
+        for b in bins:
+            fill = sum(r["length"] for r in own if r["bin"] == b)
+            assert fill <= 1024 and all(r["fill"] == fill for r in own if r["bin"] == b)
+        assert bound <= len(bins) <= plain
+        above, saved = above + (plain > bound), saved + plain - len(bins)
+    assert above and saved
 
 
 def test_language_id(spark):
