@@ -21,18 +21,17 @@ CHUNK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1_500_000
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """docs with a column chunk, and the number of buckets that suits them.
+def chunked(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs with a column chunk, the number of buckets that suits them, and their bytes of text.
 
-    Documents of one doc_id share a chunk; those without one are dealt by their
-    text.  Chunks grow from 4 to 64 MB with the square root of the corpus, so
-    that a chunk keeps enough entries for each bucket.
+    Documents are dealt by a hash of doc_id and text, so that neither copies
+    nor rows of one doc_id gather.  Chunks grow from 4 to 64 MB with the square
+    root of the corpus, so that a chunk keeps enough entries for each bucket.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     size = min(64 << 20, CHUNK_BYTES * max(1.0, math.sqrt(total / 2**31)))
     chunks = max(1, math.ceil(total / size))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.withColumn("chunk", F.pmod(key, F.lit(chunks))), max(1, math.ceil(total / 6 / BUCKET_ENTRIES))
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), max(1, math.ceil(total / 6 / BUCKET_ENTRIES)), total
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:

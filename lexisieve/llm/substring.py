@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, block: int = 10, keep_clean:
 
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "chunk")]
-    docs, buckets = C.chunked(docs.select(names))
+    docs, buckets, _ = C.chunked(docs.select(names))
     by_chunk = docs.groupBy("chunk")
     sent = by_chunk.applyInArrow(_probe(block, buckets), SENT)
     hits = sent.groupBy("bucket").applyInArrow(_match, ANSWER)

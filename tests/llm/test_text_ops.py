@@ -416,15 +416,70 @@ def test_lm(docs, texts, spark):
     assert lm.score(flagged.where("false"), "learn").count() == 0
 
 
-def test_lm_is_normalised():
-    words = np.sort(np.arange(1, 9, dtype=np.uint64) * np.uint64(977))
-    vocabulary = lm.Vocabulary(words, np.arange(1, 9, dtype=np.int64), 5, 60, 20)
+def lm_network(own=40, seed=3):
+    rng = np.random.default_rng(seed)
+    words = np.unique(rng.integers(0, 2**63, own).astype(np.uint64))
+    vocabulary = lm.Vocabulary(words, np.arange(2, own + 2, dtype=np.int64), 5, 90_000, 900, np.full(lm.RARE, 300), np.full(lm.RARE, 30))
     net = lm.Network.fresh(vocabulary)
-    z = net.normalisers()
+    net.r *= 8
+    net.q *= 8
+    return vocabulary, net
+
+
+def test_lm_is_normalised(monkeypatch):
+    vocabulary, net = lm_network()
+    rows = [0, 7, lm.FREQUENT + 3, vocabulary.start]
+    z = {i: net.normalisers(slice(i, i + 1))[0] for i in rows}
     every = np.arange(vocabulary.size)
-    for one, two in ((vocabulary.start, vocabulary.start), (0, 3), (vocabulary.rest, 1)):
-        p = np.exp(net.log_probability(every, np.full(vocabulary.size, one), np.full(vocabulary.size, two), z))
-        assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
+    for one in rows:
+        for two in (0, 3, vocabulary.start):
+            scores = (net.c[0] * net.r[one] + net.c[1] * net.r[two]).astype(float) @ net.q.astype(float).T + net.bias
+            assert math.isclose(np.log(np.exp(scores).sum()), z[one][two], rel_tol=1e-6)
+            full = np.zeros((vocabulary.contexts, vocabulary.contexts))
+            full[one] = z[one]
+            p = np.exp(net.log_probability(every, np.full(vocabulary.size, one), np.full(vocabulary.size, two), full))
+            assert math.isclose(p.sum(), 1.0, rel_tol=1e-5)
+
+
+def test_lm_classes_of_words_and_contexts():
+    vocabulary, _ = lm_network()
+    k = len(vocabulary.words)
+    assert vocabulary.classes(vocabulary.words).tolist() == list(range(k))
+    other = np.array([1, 2, 257], np.uint64)
+    assert vocabulary.classes(other).tolist() == [k + 2, k + 3, k + 2]
+    assert sorted(vocabulary.context[:k]) == list(range(k)) and vocabulary.context[k:].min() >= lm.FREQUENT and vocabulary.context.max() < vocabulary.start
+    token, one, two, off = vocabulary.stream(np.array([3, 5, 4]), np.array([0, 2, 2, 3]))
+    c, s = vocabulary.context, vocabulary.start
+    assert token.tolist() == [3, 5, k, k, 4, k] and off.tolist() == [0, 3, 4, 6]
+    assert one.tolist() == [s, c[3], c[5], s, s, c[4]] and two.tolist() == [s, s, c[3], s, s, s]
+
+
+def test_lm_learns_from_context_and_not_from_the_layout(spark):
+    rng, rows = random.Random(12), []
+    for i in range(700):
+        at, text = rng.randrange(12), []
+        for _ in range(80):
+            at = (3 * at + 1 + (rng.random() < 0.2)) % 12  # a word says much about the next
+            text.append(f"w{at}")
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", langid.held_out(F.col("doc_id"), 7, 2)).withColumn("learn", ~F.col("held"))
+    got = {r["doc_id"]: r for r in lm.score(df.repartition(5), "learn").collect()}
+    again = {r["doc_id"]: r["score"] for r in lm.score(df.coalesce(1).orderBy(F.desc("doc_id")), "learn").collect()}
+    assert all(math.isclose(again[i], r["score"], rel_tol=1e-9) for i, r in got.items())
+    held = [r for r in got.values() if r["held"]]
+    assert sum(r["score"] for r in held) > 0.93 * sum(r["base_score"] for r in held) and sum(r["score"] > r["base_score"] for r in held) > 0.95 * len(held)
+
+
+def test_lm_sums_parts_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PART_BYTES", 300)
+    monkeypatch.setattr(lm, "FAN", 2)
+    df = spark.createDataFrame([(i, f"alpha beta gamma delta {i % 7}") for i in range(60)], "doc_id long, text string").withColumn("learn", F.lit(True))
+    assert all(math.isfinite(r["score"]) for r in lm.score(df, "learn").collect())
+
+
+def test_vocabulary_grows_with_the_corpus():
+    sizes = [lm.vocabulary_size(n) for n in (0, 10**6, 10**8, 10**10, 10**14)]
+    assert sizes == [500, 1000, 10_000, 100_000, lm.MOST_WORDS]
 
 
 def test_packed_integers_and_words():
