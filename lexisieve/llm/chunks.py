@@ -25,13 +25,15 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """docs with a column chunk, the number of buckets that suits them, and their bytes of text.
 
     Documents are dealt by a hash of doc_id and text, so that neither copies
-    nor rows of one doc_id gather.  Chunks grow from 4 to 64 MB with the square
-    root of the corpus, so that a chunk keeps enough entries for each bucket.
+    nor rows of one doc_id gather.  Chunks and buckets grow with the square root
+    of the corpus, from 4 to 64 MB and from BUCKET_ENTRIES to five times as
+    many, so that a chunk keeps enough entries for each bucket.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    size = min(64 << 20, CHUNK_BYTES * max(1.0, math.sqrt(total / 2**31)))
+    grown = max(1.0, math.sqrt(total / 2**31))
+    size, entries = min(64 << 20, CHUNK_BYTES * grown), BUCKET_ENTRIES * min(5.0, grown)
     chunks = max(1, math.ceil(total / size))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), max(1, math.ceil(total / 6 / BUCKET_ENTRIES)), total
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), max(1, math.ceil(total / 6 / entries)), total
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:

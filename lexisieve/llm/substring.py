@@ -3,20 +3,24 @@
 Every document is cut into non-overlapping blocks of 10 words, the reference
 index; every rolling 10-word window of every document probes it.  A window of
 20 words always holds one whole block of each of its occurrences, so each
-repeat of 20 words or more has a hit on both sides.  Hits are then extended:
-the 20-word windows around them are compared on 64-bit hashes, all but the
-first occurrence of each are marked, and overlapping marks merge into the
-maximal repeats whose words go.
+repeat of 20 words or more has a hit on both sides.  A hit is extended to both
+sides, as far as a window of 20 words that holds it: of each such window all
+but the first occurrence are marked, and marks that overlap or follow one
+another grow together to the maximal exact repeats, whose words go.  Extension
+works on windows and not on pairs of a hit's two sides, as a passage in a third
+of all documents has quadratically many pairs.
 
 Anchors and probes travel as 32-bit remainders inside hash-range buckets (a
-false hit only costs a comparison); windows as full hashes with the document
-in which the chunk sees them first.  Answers are bits in the chunk's own
-order.  The documents are exchanged once: the three passes share the exchange.
+false hit only costs a comparison); windows as two 64-bit hashes of their
+words' hashes with the document in which the chunk sees them first, so that two
+different windows out of 10**13 meet with odds of about 10**-13.  Answers are
+bits in the chunk's own order.  The documents are exchanged once: the three
+passes share the exchange.
 
 Defined results: a null or blank text has no words and its text stays as it
-is; rows of equal doc_id are taken in the order of their texts; rows without a
-doc_id come after all others in the order of a hash of their texts; repeated
-rows count as copies, one of which is first; extra columns are carried along;
+is; rows of equal doc_id are taken in the order of a hash of their texts; rows
+without a doc_id come after all others in the same order; repeated rows count
+as copies, one of which is first; extra columns are carried along;
 an empty table gives an empty result.
 """
 
@@ -32,6 +36,7 @@ from lexisieve.llm import arrays as A
 from lexisieve.llm import chunks as C
 
 LAST = np.iinfo(np.int64).max
+SECOND = np.uint64(0xA5A5A5A5A5A5A5A5)
 SENT = "bucket long, chunk long, entries binary, flags binary"
 ANSWER = "chunk long, bucket long, stage int, bits binary"
 
@@ -54,6 +59,7 @@ class Chunk:
         self.h, self.first = A.all_words(_text(self.table)) if len(self.table) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         self.at = A.within(self.first, block)
         self.grams = A.ngrams(self.h, block)
+        self.others = A.ngrams(A.mix(self.h ^ SECOND), block)
         own = self.grams[self.at]
         self.keys = (C.bucket_of(own, buckets) << np.uint64(32)) | (own & np.uint64(0xFFFFFFFF))
         self.uniq, self.counts = np.unique(self.keys, return_counts=True)
@@ -66,7 +72,7 @@ class Chunk:
         return out
 
     def windows(self, hits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of the windows of `size` words that hold a hit; hits are flags over uniq."""
+        """Starts and hashes (two each) of the windows of `size` words that hold a hit; hits are flags over uniq."""
         value = self.uniq[hits]
         hit = np.zeros(len(self.h) + 1, np.int64)
         if len(value):
@@ -75,13 +81,26 @@ class Chunk:
         total = np.cumsum(hit)
         start = A.within(self.first, size)
         start = start[total[start + (size - self.block) + 1] > total[start]]
-        out = np.zeros(len(start), np.uint64)
+        out = np.zeros((len(start), 2), np.uint64)
         for j in range(0, size, self.block):
             step = min(j, size - self.block)
-            out = A.mix(out + self.grams[start + step])
+            out[:, 0] = A.mix(out[:, 0] + self.grams[start + step])
+            out[:, 1] = A.mix(out[:, 1] + self.others[start + step])
         return start, out
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of two hashes each, ascending, and where each comes first."""
+    order = np.lexsort((h[:, 1], h[:, 0]))  # stable: of equal rows the first stays first
+    lead = _leads(h[order])
+    return h[order][lead], order[lead]
+
+
+def _leads(h: np.ndarray) -> np.ndarray:
+    """Flags of the rows that differ from the row before."""
+    return np.append(True, (h[1:] != h[:-1]).any(axis=1)) if len(h) else np.zeros(0, bool)
+
+
 def _probe(block: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         chunk = Chunk(table, block, buckets)
@@ -133,10 +152,10 @@ def _extend(block: int, size: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(docs, block, buckets)
         start, h = chunk.windows(_hits(chunk, answers), size)
-        uniq, index = np.unique(h, return_index=True)
+        uniq, index = _distinct(h)
         ids = chunk.table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
         row = np.searchsorted(chunk.first, start[index], "right") - 1
-        rows = [(b, uniq[i:j].tobytes(), C.pack_ints(ids[row[i:j]])) for b, i, j in C.cuts(C.bucket_of(uniq, buckets))]
+        rows = [(b, uniq[i:j].tobytes(), C.pack_ints(ids[row[i:j]])) for b, i, j in C.cuts(C.bucket_of(uniq[:, 0], buckets))]
         return _sent(rows, key)
 
     return run
@@ -144,15 +163,14 @@ def _extend(block: int, size: int, buckets: int):
 
 def _settle(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each window of one bucket, which chunk holds its first occurrence."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("entries").to_pylist()]
+    lists = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in table.column("entries").to_pylist()]
     ids = np.concatenate([C.unpack_ints(x) for x in table.column("flags").to_pylist()])
     size = np.array([len(v) for v in lists])
     chunk = np.repeat(table.column("chunk").to_numpy(), size)
     value = np.concatenate(lists)
-    order = np.lexsort((chunk, ids, value))
-    lead = np.append(True, value[order][1:] != value[order][:-1]) if len(order) else np.zeros(0, bool)
+    order = np.lexsort((chunk, ids, value[:, 1], value[:, 0]))
     per = np.zeros(len(value), bool)
-    per[order[lead]] = True
+    per[order[_leads(value[order])]] = True
     return _answered(table, key, 2, np.split(per, np.cumsum(size)[:-1]))
 
 
@@ -160,8 +178,8 @@ def _remove(block: int, size: int, buckets: int, names: list[str], keep_clean: b
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(docs, block, buckets)
         start, h = chunk.windows(_hits(chunk, answers), size)
-        uniq, index = np.unique(h, return_index=True)
-        first = _flags(answers, 2, C.cuts(C.bucket_of(uniq, buckets)), len(uniq))
+        uniq, index = _distinct(h)
+        first = _flags(answers, 2, C.cuts(C.bucket_of(uniq[:, 0], buckets)), len(uniq))
         repeat = np.ones(len(start), bool)
         repeat[index[first]] = False
         edge = np.zeros(len(chunk.h) + 1, np.int64)
