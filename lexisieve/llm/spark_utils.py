@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -64,26 +65,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     skew handling, as both sides are tables.  Each step is written to the
     shared folder and the one before is deleted.
     """
-    edges = persist_table(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
-    before = _state(edges)
-    while before[0]:
-        for step in (_large_star, _small_star):
-            least, moved = step(edges)
-            discard(edges, least)
-            edges = moved
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
+    edges, state = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    steps, idle = itertools.cycle((_large_star, _small_star)), 0
+    while state[0] and idle < 2:  # neither step has anything left to do
+        least, moved = next(steps)(edges)
+        moved, after = _written(moved)
+        discard(edges, least)
+        idle = idle + 1 if after == state else 0
+        edges, state = moved, after
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    labels = persist_table(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "cc-labels")
-    discard(edges)
+    labels = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    labels.stored_at = edges.stored_at
     return labels
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """The number of edges and a checksum of them."""
-    return tuple(edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """edges as a table, their number and a checksum of them, both taken as they are written."""
+    seen = Observation()
+    table = persist_table(edges.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), "cc-edges")
+    return table, (seen.get["n"], seen.get["x"] or 0)
 
 
 def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,11 +92,11 @@ def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = persist_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-least")
     # the edge u > v is seen from v: u goes to the least neighbour of v
     tied = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
-    return least, persist_table(tied.distinct(), "cc-edges")
+    return least, tied.distinct()
 
 
 def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v, after each vertex has tied itself and its smaller neighbours to the least of them."""
     least = persist_table(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
     tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return least, persist_table(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
+    return least, tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
