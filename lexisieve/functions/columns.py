@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,7 @@ class Sieve:
         Detector(lexicon, self.settings)  # raises here rather than in a task
         text = repr((self.settings, sorted(self.settings.obfuscation_separators), sorted(lexicon.blacklist), sorted(lexicon.whitelist), sorted(lexicon.aliases.items())))
         key, own, on = hashlib.sha256(text.encode()).hexdigest(), lexicon, self.settings
+        self._key = key
 
         def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             detector = _detector(key, own, on)
@@ -62,14 +63,35 @@ class Sieve:
                     rows.append({"normalized_text": normal, "error": error, "matches": found})
                 yield pa.array(rows, _RESULT)
 
-        self._kernel = F.arrow_udf(kernel, RESULT)
+        def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            detector = _detector(key, own, on)
+            for texts in batches:
+                rows = [None if t is None else detector(t)[1] for t in texts.to_pylist()]
+                yield pa.array([None if r is None else bool(r) for r in rows], pa.bool_())
+
+        self._kernel, self._found = F.arrow_udf(kernel, RESULT), F.arrow_udf(found, T.BooleanType())
 
     def detect(self, text: Column | str) -> Column:
         """struct<normalized_text, error, matches>; matches are disjoint and in the order of their spans."""
         return self._kernel(text if isinstance(text, Column) else F.col(text))
 
     def contains(self, text: Column | str) -> Column:
-        return contains(self.detect(text))
+        """Whether anything is found; only the answer leaves the kernel."""
+        return self._found(text if isinstance(text, Column) else F.col(text))
+
+    def register(self, spark: SparkSession, name: str) -> None:
+        """SQL names: name(text) and name_contains(text) as functions, name_spans(text) as a table function for LATERAL."""
+        spark.udf.register(name, self._kernel)
+        spark.udf.register(f"{name}_contains", self._found)
+        key, own, on = self._key, self.lexicon, self.settings
+
+        class Spans:
+            def eval(self, text: str):
+                found = None if text is None else _detector(key, own, on)(text)[1]
+                for m in found or ():
+                    yield m.term, m.matched_text, m.start, m.end, m.method, m.score
+
+        spark.udtf.register(f"{name}_spans", F.udtf(Spans, returnType=MATCH))
 
     def with_detection(self, df: DataFrame, text: str = "text", to: str = "detection") -> DataFrame:
         """df with the detection struct in a column of its own, so that later expressions don't run the kernel again."""
@@ -179,10 +201,18 @@ def deletion_signatures(word: Column) -> Column:
 
 
 def fuzzy_tokens(tokens: DataFrame, terms: DataFrame, token: str = "token", term: str = "term", distance: int = 1) -> DataFrame:
-    """Pairs of distinct tokens and terms within an edit distance of 1, natively: an equi-join on deletion signatures, then levenshtein."""
-    if distance != 1:
-        raise SettingsError("the native join has distance 1; use the fuzzy method for 2")
-    left = tokens.select(token).distinct().select(token, F.explode(deletion_signatures(F.col(token))).alias("_s"))
-    right = terms.select(term).distinct().select(term, F.explode(deletion_signatures(F.col(term))).alias("_s"))
-    near = left.join(right, "_s").where(F.col(token) != F.col(term)).select(token, term).distinct()
-    return near.where(F.levenshtein(F.col(token), F.col(term), distance) == 1)
+    """Pairs of distinct tokens and terms with an edit distance of 1 to `distance` (1 or 2), natively: an equi-join on deletion signatures, then levenshtein."""
+    if distance not in (1, 2):
+        raise SettingsError("distance: 1 or 2")
+
+    def signed(df: DataFrame, name: str) -> DataFrame:
+        s = deletion_signatures(F.col(name))
+        if distance == 2:
+            s = F.array_distinct(F.flatten(F.transform(s, deletion_signatures)))
+        return df.select(name).distinct().select(name, F.explode(s).alias("_s"))
+
+    # a token that is longer or shorter than every term by more than `distance` has no partner
+    size = terms.agg(F.min(F.length(term)).alias("_least"), F.max(F.length(term)).alias("_most"))
+    near = tokens.join(F.broadcast(size), F.length(token).between(F.col("_least") - distance, F.col("_most") + distance))
+    pairs = signed(near, token).join(signed(terms, term), "_s").where(F.col(token) != F.col(term)).select(token, term).distinct()
+    return pairs.where(F.levenshtein(F.col(token), F.col(term), distance).between(1, distance))

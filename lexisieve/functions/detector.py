@@ -13,14 +13,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import combinations
 
+import ahocorasick
+
 from lexisieve.functions import views as V
 from lexisieve.functions.lexicon import EXACT_TOKEN, Lexicon
 from lexisieve.functions.settings import Settings, SettingsError
 
-PARTICLES = frozenset(
-    "가 까지 께 께서 나 는 도 든 든지 라도 랑 로 를 마다 마저 만 만큼 밖에 보다 부터 뿐 에 에게 에서 와 으로 은 을 의 이 이나 이든 이든지 이라도 이랑 조차 처럼 한테".split()
-)
+#: Particles that may follow a term inside its token.
+PARTICLES = frozenset({
+    "가", "까지", "께", "께서", "나", "는", "도", "든", "든지", "라도", "랑", "로", "를", "마다", "마저", "만", "만큼", "밖에", "보다", "부터",
+    "뿐", "에", "에게", "에서", "와", "으로", "은", "을", "의", "이", "이나", "이든", "이든지", "이라도", "이랑", "조차", "처럼", "한테",
+})
 LONGEST_PARTICLE = max(map(len, PARTICLES))
+REMEMBERED = 200_000  # tokens whose near terms a detector keeps
 TOO_LONG, TOO_COSTLY = "input_too_long", "fuzzy_operation_limit"
 
 
@@ -35,36 +40,24 @@ class Match:
 
 
 class Scanner:
-    """All occurrences of a set of strings: an Aho-Corasick automaton where the library is present, else a lookup by length."""
+    """All occurrences of a set of strings, by an Aho-Corasick automaton."""
 
     def __init__(self, words):
         self.words = sorted(set(words))
-        self.automaton = None
+        self.automaton = ahocorasick.Automaton()
+        for w in self.words:
+            self.automaton.add_word(w, w)
         if self.words:
-            try:
-                import ahocorasick
-            except ImportError:
-                self.by_first: dict[str, list[str]] = {}
-                for w in self.words:
-                    self.by_first.setdefault(w[0], []).append(w)
-            else:
-                self.automaton = ahocorasick.Automaton()
-                for w in self.words:
-                    self.automaton.add_word(w, w)
-                self.automaton.make_automaton()
+            self.automaton.make_automaton()
 
     def all(self, text: str):
         """(start, end, word) of every occurrence."""
-        if not self.words:
-            return
-        if self.automaton is not None:
+        if self.words:
             for last, w in self.automaton.iter(text):
                 yield last + 1 - len(w), last + 1, w
-            return
-        for i, c in enumerate(text):
-            for w in self.by_first.get(c, ()):
-                if text.startswith(w, i):
-                    yield i, i + len(w), w
+
+    def any(self, text: str) -> bool:
+        return next(self.all(text), None) is not None
 
     def longest(self, text: str) -> list[tuple[int, int, str]]:
         """The longest word at each start."""
@@ -186,6 +179,7 @@ class Detector:
         self.blank_free = Scanner(spaced) if settings.whitespace_gap_matching else Scanner(())
         self.mixed = Scanner([t for t in lexicon.blacklist if len(t) >= 2 and t.isalnum()]) if settings.mixed_gap_matching else Scanner(())
         self.signatures: dict[str, set[str]] = {}
+        self.tokens: dict[str, tuple[int, list[tuple[str, int]]]] = {}
         if settings.fuzzy_matching:
             entries = 0
             for t in lexicon.blacklist:
@@ -199,9 +193,16 @@ class Detector:
             d = settings.fuzzy_max_distance
             self.fuzzy_lengths = range(max(1, min(lengths) - d), max(lengths) + d + 1) if lengths else range(0)
 
+    @staticmethod
+    def _spells(scanner: Scanner, text: str, skipped: str) -> bool:
+        """Whether a word of scanner shows once all skipped signs are gone; if not, no reading that leaves out some of them has one."""
+        if not any(c in text for c in skipped):
+            return False
+        return scanner.any(text.translate(dict.fromkeys(map(ord, skipped))))
+
     def _over_blanks(self, text: str, v: V.View, edges: Edges):
         """Terms spelled across short single blanks, at least one of them."""
-        if " " not in v.text:
+        if not self._spells(self.blank_free, v.text, " "):
             return
         widest = self.settings.max_whitespace_gap
         kept = [i for i in range(len(v.text)) if not V.short_blank(text, v, i, widest)]
@@ -237,9 +238,21 @@ class Detector:
         found = [(s, e, t) for s, e, t in self.mixed.all(p.text) if blanks[e] > blanks[s + 1] and signs[e] > signs[s + 1] and edges.start[kept[s]] and edges.closes(kept[e - 1] + 1)]
         return fold(text, p, found, "mixed", bytes(len(p.text)), protected, taken, Edges(p.text).after) if found else []
 
+    def _near(self, token: str) -> tuple[int, list[tuple[str, int]]]:
+        """The operations that a token costs and the terms near it with their distances; remembered for tokens that come again."""
+        known = self.tokens.get(token)
+        if known is None:
+            own, most = deletions(token, self.settings.fuzzy_max_distance), self.settings.fuzzy_max_distance
+            terms = set().union(*(self.signatures.get(s, ()) for s in own))
+            near = [(t, d) for t in sorted(terms - {token}) if (d := edit_distance(t, token, most)) <= most]
+            if len(self.tokens) >= REMEMBERED:
+                self.tokens.clear()
+            known = self.tokens[token] = len(own) + len(terms) * len(token), near
+        return known
+
     def _fuzzy(self, text: str, v: V.View, edges: Edges, guard: bytes, protected: bytes, taken: bytes) -> list[Match]:
         """Whole tokens at an edit distance of 1 to the most allowed; raises OverflowError past the operation limit."""
-        most, least, cost = self.settings.fuzzy_max_distance, self.settings.fuzzy_min_score, 0
+        least, cost = self.settings.fuzzy_min_score, 0
         best: dict[tuple[str, int, int], tuple] = {}
         i, n = 0, len(v.text)
         while i < n:
@@ -251,15 +264,13 @@ class Detector:
                 j += 1
             token = v.text[i:j]
             if edges.end[j] and len(token) in self.fuzzy_lengths:
-                own = deletions(token, most)
-                terms = set().union(*(self.signatures.get(s, ()) for s in own))
-                cost += len(own) + len(terms) * len(token)
+                spent, near = self._near(token)
+                cost += spent
                 if cost > self.settings.fuzzy_max_operations:
                     raise OverflowError
-                for t in terms - {token}:
-                    d = edit_distance(t, token, most)
+                for t, d in near:
                     score = 1.0 - d / max(len(t), len(token))
-                    if d <= most and score >= least:
+                    if score >= least:
                         o, p = v.starts[i], v.ends[j - 1]
                         rank = (-len(t), d, -(j - i), o, t, i, p, j, score)
                         best[t, o, p] = min(best.get((t, o, p), rank), rank)
@@ -328,7 +339,7 @@ class Detector:
             plain("base", "exact", None)
         plain("repeated", "repeated", v)
         plain("separator", "separator", v)
-        if on.whitespace_gap_matching and " " in v.text:
+        if on.whitespace_gap_matching and self._spells(self.blank_free, v.text, " "):
             groups.append(fold(text, v, self._over_blanks(text, v, boundaries()), "whitespace", guards["base"], protected, after=boundaries().after))
         plain("keyboard", "keyboard", v)
         plain("jamo", "jamo", v)
@@ -353,7 +364,7 @@ class Detector:
 
         for group in groups:
             merge(group)
-        if on.mixed_gap_matching and self.mixed.words:
+        if on.mixed_gap_matching and self._spells(self.mixed, v.text, " " + "".join(separators)):
             merge(self._mixed(text, v, boundaries(), protected, taken))
         if self.signatures:
             try:

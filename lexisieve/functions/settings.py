@@ -19,15 +19,18 @@ class SettingsError(SieveError, ValueError):
 class LexiconError(SieveError, ValueError):
     """Term lists that can't be used."""
 
+#: The signs that may stand between the letters of a term, by default.
+SEPARATORS = "!@#$%^&*_-+=~.·,"
+
 
 @dataclass(frozen=True)
 class Settings:
-    """All knobs of detection; a bare Settings() turns every method on."""
+    """All knobs of detection; a bare Settings() turns every method on.  Names and defaults are fixed values."""
 
     max_input_length: int = 4096
     unicode_form: str = "NFKC"
     repeat_reduction_threshold: int = 2
-    obfuscation_separators: frozenset[str] = frozenset("~!@#$%^&*-_=+.,·")
+    obfuscation_separators: frozenset[str] = frozenset(SEPARATORS)
     max_whitespace_gap: int = 3
     exact_matching: bool = True
     alias_matching: bool = True

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexisieve.functions.settings import SieveError
+
 OCCURRENCE = ("case_id", "start", "end", "term")
 
 
@@ -107,7 +109,9 @@ def gates(metrics: DataFrame, most_fp_rate: float = 0.005, short_ms: float = 1.0
 def deltas(metrics: DataFrame, baseline: str, columns: tuple[str, ...] = ("tp", "fp", "fn", "tn")) -> DataFrame:
     """Differences of each profile's counts from the baseline profile's."""
     base = metrics.where(F.col("profile") == baseline).select(*[F.col(c).alias(f"_{c}") for c in columns])
-    return metrics.join(F.broadcast(base.limit(1))).select("profile", *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in columns])
+    if base.count() != 1:
+        raise SieveError(f"the metrics have no row, or more than one, of {baseline!r}")
+    return metrics.join(F.broadcast(base)).select("profile", *[(F.col(c) - F.col(f"_{c}")).alias(f"d_{c}") for c in columns])
 
 
 def inconsistent(metrics: DataFrame) -> DataFrame:

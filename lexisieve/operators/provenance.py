@@ -55,17 +55,17 @@ def unresolved_aliases(aliases: DataFrame, terms: DataFrame) -> DataFrame:
     return aliases.join(terms.select("term").distinct(), "term", "left_anti")
 
 
-def negatives_with_core(candidates: DataFrame, longest: int = 64) -> DataFrame:
+def negatives_with_core(candidates: DataFrame) -> DataFrame:
     """(candidate_id, term): hard negatives that contain an approved core term.
 
-    Containment as an equi-join: every substring of a negative of the lengths
-    that core terms have (at most `longest`) is looked up.
+    Containment as an equi-join: every substring of a negative of a length that
+    some core term has is looked up, whatever that length is.
     """
-    core = candidates.where("target_layer = 'core' and status = 'approved'").select(F.col("surface").alias("term")).where(F.length("term") <= longest).distinct()
-    lengths = F.sort_array(F.array(*[F.lit(i) for i in range(1, longest + 1)]))
+    core = candidates.where("target_layer = 'core' and status = 'approved'").select(F.col("surface").alias("term")).distinct()
+    lengths = core.select(F.length("term").alias("n")).distinct()
     neg = candidates.where("classification = 'hard-negative'").select("candidate_id", "surface")
     at = neg.select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length("surface"), F.lit(1)))).alias("i"))
-    parts = at.select("*", F.explode(F.filter(lengths, lambda n: F.col("i") + n - 1 <= F.length("surface"))).alias("n"))
+    parts = at.join(lengths, F.col("i") + F.col("n") - 1 <= F.length("surface"))
     return parts.select("candidate_id", F.substring("surface", F.col("i"), F.col("n")).alias("term")).join(core, "term").select("candidate_id", "term").distinct()
 
 

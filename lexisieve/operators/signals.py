@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Personal data: addresses of the web and of mail, phone and resident numbers, IPv4, long digit runs, handles.
+#: Fixed values.  Personal data: addresses of the web and of mail, phone and resident numbers, IPv4, long digit runs, handles.
 SENSITIVE = (
     r"(?iU)(https?://|www\.|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b|(?<!\d)01[016789][ -]?\d{3,4}[ -]?\d{4}(?!\d)"
     r"|(?<!\d)\d{6}[ -]?\d{7}(?!\d)|(?<!\d)(\d{1,3}\.){3}\d{1,3}(?!\d)|(?<!\d)\d{6,}(?!\d)|(?<!\w)@[A-Z0-9_]{2,})"
 )
 
-#: name -> (Java pattern, weight), by falling weight.
+#: Name -> (Java pattern, weight), by falling weight.
 SURFACE = {
     "modern-jamo": (r"[\x{1100}-\x{11FF}]", 100),
     "ascii-token": (r"[A-Za-z]{3,}", 90),
