@@ -53,6 +53,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+EDGES = 100_000  # a file of edges, about
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of all vertices of edges (u, v); component is the smallest id reachable.
 
@@ -68,8 +71,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges, state = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     steps, idle = itertools.cycle((_large_star, _small_star)), 0
     while state[0] and idle < 2:  # neither step has anything left to do
-        least, moved = next(steps)(edges)
-        moved, after = _written(moved)
+        files = -(-state[0] // EDGES)
+        least, moved = next(steps)(edges, files)
+        moved, after = _written(moved.coalesce(files))
         discard(edges, least)
         idle = idle + 1 if after == state else 0
         edges, state = moved, after
@@ -86,17 +90,17 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return table, (seen.get["n"], seen.get["x"] or 0)
 
 
-def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_star(edges: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v, after each vertex has tied its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = persist_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "cc-least")
+    least = persist_table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).coalesce(files), "cc-least")
     # the edge u > v is seen from v: u goes to the least neighbour of v
     tied = edges.join(least.withColumnRenamed("u", "v"), "v").select("u", F.col("m").alias("v"))
     return least, tied.distinct()
 
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _small_star(edges: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v), u > v, after each vertex has tied itself and its smaller neighbours to the least of them."""
-    least = persist_table(edges.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+    least = persist_table(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "cc-least")
     tied = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return least, tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
