@@ -221,13 +221,11 @@ def deletion_index(spark, sf):
     return terms(spark).select("term", F.explode(K.deletion_signatures(F.col("term"))).alias("signature"))
 
 
-@query("SELECT token, row_number() OVER (ORDER BY length(token) DESC, token) AS position FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM documents) ORDER BY 2 LIMIT 100")
+@query("SELECT token, row_number() OVER (ORDER BY length(token) DESC, token) AS position FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS token FROM documents)")
 def ordered_lexicon(spark, sf):
-    from lexisieve.sources.readers import ordered_terms
+    from lexisieve.sources.readers import term_positions
 
-    top = ordered_terms(tokens(table(spark, sf, "documents")).distinct().withColumnRenamed("token", "term")).limit(100)
-    row = F.transform(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("n"), "term"))), lambda x: x["term"])
-    return top.agg(row.alias("all")).select(F.posexplode("all").alias("at", "token")).select("token", (F.col("at") + 1).cast("long").alias("position"))
+    return term_positions(tokens(table(spark, sf, "documents")).distinct().withColumnRenamed("token", "term")).select(F.col("term").alias("token"), "position")
 
 
 # ---- de-duplication and sampling

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexisieve.functions.settings import SieveError
@@ -32,6 +33,16 @@ def ordered_terms(terms: DataFrame) -> DataFrame:
     return terms.orderBy(F.desc(F.length("term")), "term")
 
 
+def term_positions(terms: DataFrame) -> DataFrame:
+    """(term, position) of distinct terms in the order of ordered_terms, without one task that sees them all: ranks inside ranges, and counts of the ranges before."""
+    keyed = terms.select("term", F.length("term").alias("_n"), F.substring("term", 1, 3).alias("_head"))
+    counts = keyed.groupBy("_n", "_head").agg(F.count("*").alias("_k"))
+    order = Window.orderBy(F.desc("_n"), "_head").rowsBetween(Window.unboundedPreceding, -1)  # of ranges, not of terms
+    before = counts.select("_n", "_head", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_n", "_head").orderBy("term"))
+    return keyed.withColumn("_own", own).join(before, ["_n", "_head"]).select("term", (F.col("_before") + F.col("_own")).alias("position"))
+
+
 def alias_list(spark: SparkSession, path: str) -> DataFrame:
     """(alias, term, mode, ok): lines of three tab-separated fields; ok is false where a field is missing or the mode is unknown."""
     parts = F.split("value", "\t", -1)
@@ -52,22 +63,31 @@ def corpora(spark: SparkSession, *paths: str) -> DataFrame:
     return raw.select("path", "corpus_id", F.explode("cases").alias("c")).select("path", "corpus_id", "c.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of text files, numbered file by file from 1; files are read in splits, of which only counts are compared."""
+    m = F.col("_metadata")
+    raw = spark.read.text(path).select("value", m["file_path"].alias("_file"), m["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = raw.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_before", before).select("_file", "_block", "_first", "_before")
+    return raw.join(splits, ["_file", "_block"]).select((F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "value")
+
+
 def delimited(spark: SparkSession, path: str, delimiter: str = "tab", text: int = 0, label: int | None = 1, header: bool = False, allowed: list[str] | None = None, longest: int = 4096) -> DataFrame:
     """(line, text, source_label, ok) of unquoted delimited lines; label -1 is the last field, and text then all before it.
 
-    Lines keep the number they have in a single file; ok is false where a field
-    is missing, the label is not allowed, or the text is empty or too long.
+    Lines are numbered file by file from 1; ok is false where a field is missing,
+    the label is not allowed, or the text is empty or too long.
     """
     sign = DELIMITERS[delimiter]
     quoted = "\\" + sign if sign == "|" else sign
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "^\\x{FEFF}", ""), "\r?\n$", ""), "\r?\n")).alias("n", "value"))
-    rows = rows.where(F.col("n") >= int(header))
+    rows = numbered_lines(spark, path).where(F.col("line") > int(header)).withColumn("value", F.when(F.col("line") == 1, F.regexp_replace("value", "^\\x{FEFF}", "")).otherwise(F.col("value")))
     parts = F.split("value", quoted, -1)
     if label == -1:
         body, tag = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), sign), F.get(parts, F.size(parts) - 1)
     else:
         body, tag = F.get(parts, F.lit(text)), F.get(parts, F.lit(label)) if label is not None else F.lit(None).cast("string")
-    out = rows.select((F.col("n") + 1).alias("line"), body.alias("text"), tag.alias("source_label"))
+    out = rows.select("line", body.alias("text"), tag.alias("source_label"))
     ok = F.coalesce((F.length("text") > 0) & (F.length("text") <= longest), F.lit(False))
     if label is not None:
         ok = ok & F.coalesce(F.col("source_label").isin(*allowed) if allowed else F.col("source_label") != "", F.lit(False))
@@ -102,18 +122,21 @@ def canonical_hash(payload) -> str:
     return hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
-def source_spec(spec: dict) -> dict:
-    """A checked copy of a source specification: closed fields, pinned hash, licence on the list."""
-    fields = {"source_id", "url", "revision", "sha256", "bytes", "license", "delimiter", "header", "text", "label", "allowed", "target"}
-    if unknown := set(spec) - fields:
-        raise SourceError(f"unknown fields {sorted(unknown)}")
-    if missing := {"source_id", "revision", "sha256", "license", "delimiter"} - set(spec):
-        raise SourceError(f"missing fields {sorted(missing)}")
-    if spec["license"] not in LICENSES:
-        raise SourceError(f"licence {spec['license']}")
-    if spec["delimiter"] not in DELIMITERS or len(spec["sha256"]) != 64:
-        raise SourceError("delimiter or sha256")
-    return dict(spec)
+def benchmark_cases(spark: SparkSession, path: str, profiles: tuple[str, ...] = ("strict", "balanced", "aggressive")) -> DataFrame:
+    """(name, text, profile, ok) of a JSON benchmark: text as given, or a pattern repeated; ok is false without either, with both, for an unknown profile or a repeated name."""
+    case = "struct<name:string,text:string,pattern:string,repeat:int,profile:string>"
+    raw = spark.read.schema(f"cases array<{case}>").option("multiLine", True).json(path).select(F.inline("cases"))
+    text = F.coalesce("text", F.repeat(F.col("pattern"), F.col("repeat")))
+    one = F.col("text").isNull() != (F.col("pattern").isNull() | F.col("repeat").isNull() | (F.col("repeat") < 1))
+    twice = raw.groupBy("name").agg((F.count("*") == 1).alias("_single"))
+    ok = F.coalesce(one & (F.col("name") != "") & F.col("profile").isin(*profiles) & F.col("_single"), F.lit(False))
+    return raw.join(twice, "name").select("name", text.alias("text"), "profile", ok.alias("ok"))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; in the warehouse where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_json(df: DataFrame, path: str, inputs: tuple[str, ...] = ()) -> None:

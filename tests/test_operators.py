@@ -98,8 +98,6 @@ def test_sources(spark, tmp_path):
     assert {tuple(r) for r in readers.labelled_tsv(spark, str(tmp_path / "l.tsv")).collect()} == {("hi", 1), ("yo", None)}
     with pytest.raises(readers.SourceError):
         readers.check_artifact(spark, str(tmp_path / "l.tsv"), "0" * 64)
-    with pytest.raises(readers.SourceError):
-        readers.source_spec({"source_id": "a", "revision": "1", "sha256": "0" * 64, "license": "none", "delimiter": "tab"})
     with pytest.raises(readers.SourceError):
         readers.write_json(spark.range(1), "/in/x", ("/in",))
     assert readers.canonical_hash({"b": 1, "a": [2]}) == readers.canonical_hash(json.loads('{"a":[2],"b":1}'))
@@ -108,13 +106,28 @@ def test_sources(spark, tmp_path):
 def test_provenance_and_generation(spark):
     from lexisieve.operators import generation, provenance
 
-    sources = spark.createDataFrame([("s", "licensed", "approved", None, True), ("t", "curated", "pending", None, None)], "source_id string, kind string, license_status string, reference string, redistribution_allowed boolean")
-    assert set(rows(provenance.source_problems(sources), "key", "rule")) == {("s", "source-reference"), ("t", "source-redistribution")}
+    sources = spark.createDataFrame(
+        [("s", "licensed", "n", None, "r", "MIT", "approved", True), ("t", "curated", " ", None, "r", "MIT", "pending", None), ("ok", "curated", "n", None, "r", "MIT", "approved", True), ("ok", "curated", "n", None, "r", "MIT", "approved", True)],
+        "source_id string, kind string, name string, reference string, revision string, license string, license_status string, redistribution_allowed boolean",
+    )
+    assert set(rows(provenance.source_problems(sources), "key", "rule")) == {("s", "source-reference"), ("t", "source-redistribution"), ("t", "source-name"), ("ok", "source-repeated")}
+    assert rows(provenance.sound_sources(sources), "source_id") == [("ok",)]
+
+    def record(key, surface, source="ok", layer="core", kind="positive", status="packaged", refs=("e",), review=("approved", "d"), form="literal"):
+        return (key, surface, surface, surface, surface, form, "exact", layer, kind, status, source, list(refs), review)
+
     c = spark.createDataFrame(
-        [("1", "bad", "core", "profanity", "approved", "s", ("approved", "d")), ("2", "badge", "none", "hard-negative", "approved", "s", ("approved", None)), ("3", "odd", "x", "profanity", "approved", "u", ("pending", None))],
-        "candidate_id string, surface string, target_layer string, classification string, status string, source_id string, review struct<status:string,decision_reference:string>",
+        [
+            record("1", "bad"),
+            record("2", "badge", kind="hard-negative", status="candidate", review=("approved", None)),
+            record("3", "odd", source="u", layer="x", kind=None, status="candidate", review=("pending", None)),
+            record("4", "far", form="alias", source="t", refs=(), review=("pending", None)),
+        ],
+        "candidate_id string, surface string, normalized_surface string, canonical string, normalized_canonical string, representation string, matcher string, target_layer string, classification string, status string, source_id string, evaluation_refs array<string>, review struct<status:string,decision_reference:string>",
     )
-    assert set(rows(provenance.candidate_problems(c, sources), "key", "rule")) == {("2", "decision"), ("3", "layer"), ("3", "source-unknown")}
+    broken = {("2", "decision"), ("3", "target_layer"), ("3", "classification"), ("3", "source-unknown")} | {("4", f"packaged-{r}") for r in ("canonical", "review", "evaluation", "license", "redistribution")}
+    assert set(rows(provenance.candidate_problems(c, sources), "key", "rule")) == broken
+    assert rows(provenance.sound_candidates(c), "candidate_id") == [("1",), ("4",)]
     terms = spark.createDataFrame([("worse",)], "term string")
     assert rows(provenance.reconcile(c, terms), "surface", "issue") == [("bad", "not-packaged"), ("worse", "no-candidate")]
     assert rows(provenance.negatives_with_core(c), "candidate_id", "term") == [("2", "bad")] and rows(provenance.selected(c, sources), "candidate_id") == [("1",)]
@@ -148,3 +161,90 @@ def test_containment_tests_every_short_passage(spark, tmp_path):
     spark.range(10_500).selectExpr("id AS item_id", "concat('<', id, '>') AS text").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.sql("SELECT 1L AS doc_id, concat_ws('', transform(sequence(0, 10499), i -> concat('<', i, '>'))) AS text").write.parquet(str(tmp_path / "documents.parquet"))
     assert catalog.containment_theta_join(spark, str(tmp_path)).count() == 10_500
+
+
+def test_intake_specifications():
+    import copy
+
+    from lexisieve.operators import intake
+    from lexisieve.plans.corpus import LICENSED, QUARANTINE
+    from lexisieve.sources.readers import SourceError
+
+    assert intake.licensed_spec(LICENSED) == LICENSED and intake.quarantine_spec(QUARANTINE) == QUARANTINE
+    config = {"composition_id": "a", "corpus_id": "b", "split": "tuning", "selection": "stable-sha256-rank-v1", "max_source_share": 1, "sources": [{"source_id": "s", "corpus_path": "p", "expected_corpus_id": "c", "quota": 2}]}
+    assert intake.composition_config(config)["max_source_share"] == 1.0
+    for check, good, path, bad in (
+        (intake.licensed_spec, LICENSED, ("extra",), 1),
+        (intake.licensed_spec, LICENSED, ("license", "spdx"), "GPL-3.0"),
+        (intake.licensed_spec, LICENSED, ("artifact", "sha256"), "0"),
+        (intake.licensed_spec, LICENSED, ("artifact", "line_count"), True),
+        (intake.licensed_spec, LICENSED, ("repository",), "http://example.org"),
+        (intake.licensed_spec, LICENSED, ("format", "label_column"), None),
+        (intake.licensed_spec, LICENSED, ("intake", "target_count"), 3),
+        (intake.licensed_spec, LICENSED, ("intake", "target_by_source_label"), {"xx": 1}),
+        (intake.quarantine_spec, QUARANTINE, ("rights_review", "status"), "approved"),
+        (intake.quarantine_spec, QUARANTINE, ("intake", "target_by_source_label"), {"0": 1}),
+        (intake.composition_config, config, ("max_source_share",), 0),
+        (intake.composition_config, config, ("max_source_share",), float("nan")),
+        (intake.composition_config, config, ("sources",), config["sources"] * 2),
+        (intake.composition_config, config, ("split",), "evaluation"),
+    ):
+        spec = copy.deepcopy(good)
+        at = spec
+        for p in path[:-1]:
+            at = at[p]
+        at[path[-1]] = bad
+        with pytest.raises(SourceError):
+            check(spec)
+
+
+def test_intake_needs_its_targets(spark):
+    from lexisieve.operators import intake
+    from lexisieve.operators.sampling import QuotaError
+    from lexisieve.plans.corpus import LICENSED
+
+    r = spark.createDataFrame([(1, "one", "en"), (2, "one", "de"), (3, "mail a@b.org", "en"), (4, "two", "en")], "row_number long, text string, source_label string")
+    with pytest.raises(QuotaError):
+        intake.licensed(r, LICENSED)
+    cases, report = intake.licensed(r, LICENSED | {"intake": LICENSED["intake"] | {"target_by_source_label": {"en": 2}}})
+    assert rows(cases, "text", "label", "split") == [("one", "review", "tuning"), ("two", "review", "tuning")]
+    assert set(rows(report, "measure", "source_label", "n")) == {("source", "en", 3), ("source", "de", 1), ("unique", "en", 3), ("eligible", "en", 2), ("selected", "en", 2)}
+    assert intake.licensed(r.where("false"), LICENSED, exact=False)[0].count() == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from lexisieve.sources import readers
+
+    path = str(tmp_path / "long.txt")
+    with open(path, "w") as f:
+        f.write("\ufefftext\tlabel\n" + "".join(f"row {i}\t{i % 2}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        out = readers.delimited(spark, path, header=True, allowed=["0", "1"])
+        assert out.rdd.getNumPartitions() > 1 and out.where("text <> concat('row ', line - 2) or not ok").count() == 0 and out.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_report_problems_and_hidden_reports(spark):
+    from lexisieve.functions.settings import SieveError
+    from lexisieve.operators import evaluation, metrics
+
+    m = spark.createDataFrame([("a", 4, 2, 2, 1, 1, 1, 1), ("b", 4, 2, 2, 2, 0, 0, 2)], "profile string, cases long, positives long, negatives long, tp long, fp long, fn long, tn long")
+    good = metrics.rates(metrics.gates(m).join(metrics.deltas(m, "a"), "profile").withColumns({"occurrence_tp": F.lit(1), "occurrence_fp": F.lit(0), "occurrence_fn": F.lit(1)}))
+    assert evaluation.report_problems(good, "a").count() == 0
+    assert rows(evaluation.report_problems(good.withColumn("tp", F.col("tp") + (F.col("profile") == "b").cast("int")), "a"), "rule") == [("cases",), ("deltas",), ("positives",)]
+    with pytest.raises(SieveError):
+        metrics.deltas(m.unionByName(m), "a")
+    signed = {"corpus_sha256": "x", "leaks": 0, "approvals": ["p", "q"]}
+    assert evaluation.hidden_report(good, 0, signed, "x").columns == ["profile", "cases", "positives", "tp", "fp", "fn", "tn", "precision", "recall"]
+    for attestation, leaks, sha in ((signed, 1, "x"), (signed, 0, "y"), (signed | {"approvals": ["p", "p"]}, 0, "x")):
+        with pytest.raises(SieveError):
+            evaluation.hidden_report(good, leaks, attestation, sha)
+
+
+def test_every_query_with_sql_has_the_columns_of_its_sql():
+    from lexisieve.plans import catalog, corpus, detection
+
+    assert corpus and detection and set(catalog.ORACLES) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 110
