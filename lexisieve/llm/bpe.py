@@ -5,8 +5,9 @@ vocabulary waits in the bucket of its merge rank, which holds positions in the
 list; a three-level bitmap over the ranks finds the lowest non-empty bucket by
 find-first-set.  A merge links its symbol out and queues the two new pairs; an
 entry whose pair has changed meanwhile is stale and is skipped when it comes
-up.  Each merge costs a constant number of steps, so a pre-token of a hundred
-thousand bytes takes time in proportion to its length.
+up.  The lowest rank is found in a constant number of steps; the positions of a
+bucket lie in a heap, as equal ranks merge from the left, so a pre-token of n
+bytes takes n log n steps at worst.
 
 Defined results: a null text counts as empty and has no ids; repeated rows
 have equal results; extra columns are carried along; an empty table gives an
