@@ -2,18 +2,21 @@
 
 A bounded sample is split by repeated 2-means until each part holds a list's
 share, so the lists come out balanced.  Graph ties each centroid to its nearest
-ones and finds the few nearest lists by a best-first walk.  A vector goes to the list of its
-nearest centroid and, near a boundary, to further lists whose distance is
-within `boundary` of the nearest (at most `copies`).  A query is measured against all
-centroids by a product, since what it keeps grows with their number: the lists
-whose distance is within `ratio` of the nearest one, at least the `lists`
-nearest, at least the nearest `share` of all (a query that is all but a
-centroid itself has next to nothing within `ratio`), and more if these hold
-fewer than `least` vectors together.  Lists lie in the order of the splits, and
-a run of them that holds about BLOCK vectors is a group; a query searches the
-groups of the lists it keeps, in blocks of bounded size, exactly and in double
-precision.
-
+ones and finds the few nearest lists by a best-first walk.  A vector goes to the
+list of its nearest centroid and, near a boundary, to further lists whose
+distance is within `boundary` of the nearest (at most `copies`).  A query keeps
+the lists whose distance is within `ratio` of the nearest one, or of the mean
+distance of a vector from its own centroid if that is more (a query that is all
+but a centroid itself has next to nothing near it), at least the `lists`
+nearest, and more if these hold fewer than `least` vectors together.  It is
+measured against all centroids by a product, as what it keeps may be many.
+
+Lists lie in the order of the splits, and a run of them that holds about BLOCK
+vectors is a group: a task has the vectors of a group, or of a part of it, and
+the queries that keep any of its lists, and compares each query with the lists
+that it keeps, exactly and in double precision.
+
+No count of lists is fixed for a query, so recall holds as lists grow in number.
 Where vectors have no clusters many lists lie within `ratio`, and the work is
 then a share of queries times vectors.
 
@@ -33,16 +36,17 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexisieve.llm import vectors as V
 from lexisieve.llm.spark_utils import persist_table
 
+SAMPLE = 50_000  # vectors that the lists are fitted on at most
 LIST = 128
 MAX_LISTS = 8192
 BLOCK = 8192
@@ -123,7 +127,7 @@ class Graph:
 
 
 def _post(centroids: np.ndarray, boundary: float, copies: int, span: int):
-    """(vec_id, embedding) -> those with group, one row for each group of `span` lists the vector belongs to."""
+    """(vec_id, embedding) -> those with group and lists, one row for each group of `span` lists the vector belongs to."""
     norm = (centroids**2).sum(axis=1)
 
     def run(batches):
@@ -136,15 +140,20 @@ def _post(centroids: np.ndarray, boundary: float, copies: int, span: int):
                 near = np.argpartition(d, k - 1, axis=1)[:, :k]
                 own = np.take_along_axis(d, near, axis=1)
                 at, col = np.nonzero(own <= (1 + boundary) * own.min(axis=1, keepdims=True))
-                at, group = np.unique(np.stack((at, near[at, col] // span)), axis=1)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(group)], names=["vec_id", "embedding", "group"])
+                lists = near[at, col]
+                order = np.lexsort((lists, at))
+                at, lists = at[order], lists[order]
+                group = lists // span
+                lead = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (group[1:] != group[:-1])))
+                held = pa.ListArray.from_arrays(pa.array(np.append(lead, len(at)), pa.int32()), pa.array(lists, pa.int32()))
+                take = pa.array(at[lead])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(group[lead]), held], names=["vec_id", "embedding", "group", "lists"])
 
     return run
 
 
-def _route(graph: Graph, sizes: np.ndarray, ratio: float, lists: int, least: int, span: int):
-    """(vec_id, embedding) of queries -> those with groups, the groups to search."""
+def _route(graph: Graph, sizes: np.ndarray, ratio: float, scale: float, lists: int, least: int):
+    """(vec_id, embedding) of queries -> those with lists, the lists to search, ascending."""
 
     def run(batches):
         for batch in batches:
@@ -153,57 +162,63 @@ def _route(graph: Graph, sizes: np.ndarray, ratio: float, lists: int, least: int
             for i in range(0, len(batch), 256):
                 for d in graph.measure(x[i : i + 256]):
                     order = np.argsort(d, kind="stable")
-                    d = d[order]
-                    keep = d <= (1 + ratio) * d[0]
+                    held = np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
+                    keep = (d[order] <= (1 + ratio) * max(d[order[0]], scale)) | (held < least)
                     keep[:lists] = True
-                    group, first = np.unique(order // span, return_index=True)
-                    nearest = np.argsort(first)
-                    group, keep = group[nearest], keep[first[nearest]]
-                    held = np.concatenate(([0], np.cumsum(sizes[group])[:-1]))
-                    group = group[keep | (held < least)]
-                    to.append(group)
-                    off.append(off[-1] + len(group))
-            groups = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(to), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, groups], names=["vec_id", "embedding", "groups"])
+                    to.append(np.sort(order[keep]))
+                    off.append(off[-1] + len(to[-1]))
+            kept = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(to), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, kept], names=["vec_id", "embedding", "lists"])
 
     return run
 
 
 def _nearest(k: int):
-    """A block of rows (vec_id, embedding, ask) -> the k nearest of its vectors to each of its queries."""
+    """A block of rows (vec_id, embedding, lists, ask) -> the k nearest vec_ids to each of its queries in the lists that it keeps."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         ids, ask = table.column("vec_id").to_numpy(), table.column("ask").to_numpy()
         x = V.matrix(table.column("embedding"))
-        b, q = np.flatnonzero(~ask), np.flatnonzero(ask)
-        b = b[np.argsort(ids[b], kind="stable")]
-        y, norm = x[b], (x * x).sum(axis=1)
-        each = np.flatnonzero(np.diff(ids[b], prepend=-1 - ids[b][:1])) if len(b) else b  # the first row of each vec_id
-        us, vs, ds = [], [], []
-        for i in range(0, len(q) if len(b) else 0, 256):
-            part = q[i : i + 256]
-            if len(each) > k:  # squares from a product choose, with what its rounding may hide; the distances below decide
+        norm = (x * x).sum(axis=1)
+        row = np.repeat(np.arange(len(ids)), pc.list_value_length(table.column("lists")).to_numpy()) if len(ids) else np.zeros(0, np.int64)
+        held = pc.list_flatten(table.column("lists")).to_numpy()
+        order = np.lexsort((ids[row], held))
+        found: dict[int, list[np.ndarray]] = {}
+        for members in np.split(row[order], np.flatnonzero(np.diff(held[order])) + 1):
+            b, q = members[~ask[members]], members[ask[members]]
+            if not len(b) or not len(q):
+                continue
+            y = x[b]
+            each = np.flatnonzero(np.diff(ids[b], prepend=-1 - ids[b][:1]))  # the first row of each vec_id
+            for i in range(0, len(q), 256):
+                part = q[i : i + 256]
+                if len(each) <= k:
+                    for r in part:
+                        found.setdefault(int(r), []).append(b)
+                    continue
+                # squares from a product choose, with what its rounding may hide; the distances below decide
                 d2 = norm[part, None] + norm[b] - 2 * x[part] @ y.T
                 own = d2 if len(each) == len(b) else np.minimum.reduceat(d2, each, axis=1)
                 most = np.partition(own, k - 1, axis=1)[:, k - 1] + 1e-10 * (norm[part] + norm[b].max())
-                some = ~(d2 > most[:, None])
-            for j, r in enumerate(part):
-                near = np.flatnonzero(some[j]) if len(each) > k else np.arange(len(b))
-                diff = y[near] - x[r]
-                d = np.sqrt((diff * diff).sum(axis=1))
-                top = np.lexsort((ids[b[near]], d))
-                if len(each) < len(b):  # a vec_id counts by its nearest vector
-                    top = top[np.sort(np.unique(ids[b[near[top]]], return_index=True)[1])]
-                top = top[:k]
-                us += [ids[r]] * len(top)
-                vs += ids[b[near[top]]].tolist()
-                ds += d[top].tolist()
+                for r, some in zip(part, ~(d2 > most[:, None]), strict=True):
+                    found.setdefault(int(r), []).append(b[some])
+        us, vs, ds = [], [], []
+        for r, parts in found.items():
+            near = np.unique(np.concatenate(parts))
+            diff = x[near] - x[r]
+            d = np.sqrt((diff * diff).sum(axis=1))
+            top = np.lexsort((ids[near], d))
+            top = top[np.sort(np.unique(ids[near[top]], return_index=True)[1])][:k]  # a vec_id counts by its nearest vector
+            us += [ids[r]] * len(top)
+            vs += ids[near[top]].tolist()
+            ds += d[top].tolist()
         return pa.table({"query_id": pa.array(us, pa.int64()), "vec_id": pa.array(vs, pa.int64()), "score": pa.array(ds, pa.float64())})
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float = 0.1, copies: int = 4, ratio: float = 0.25, lists: int = 96, least: int = 1000, share: float = 0.25) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float = 0.1, copies: int = 4, ratio: float = 0.28, lists: int = 16, least: int = 1000) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with is_query the k nearest other rows found, by Euclidean distance."""
     kind = V.element_kind(vectors.schema["embedding"].dataType)
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("ask")).where("vec_id is not null").where(V.usable("embedding"))
@@ -213,27 +228,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
         return vectors.sparkSession.createDataFrame([], empty)
     n, vectors = per["count"], vectors.where(F.size("embedding") == per["d"])
     distinct = vectors.select("embedding").distinct()
-    centroids = balanced(V.sample(distinct, "embedding", distinct.count()), max(1, min(MAX_LISTS, n // LIST)))
+    sample = V.sample(distinct, "embedding", distinct.count(), SAMPLE)
+    fitted, rest = apart(sample)
+    centroids = balanced(fitted, max(1, min(MAX_LISTS, n // LIST)))
     rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     bases = vectors.select("vec_id", "embedding").distinct().withColumn("_n", rank).where(F.col("_n") <= k + 1).drop("_n")
     span = max(1, BLOCK * len(centroids) // (n * copies))  # lists of about BLOCK vectors together, with their copies
     groups = -(-len(centroids) // span)
-    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies, span), f"vec_id long, embedding {kind}, group long"), "ann-postings")
-    sizes = _counts(posted, groups)
+    posted = persist_table(bases.mapInArrow(_post(centroids, boundary, copies, span), f"vec_id long, embedding {kind}, group long, lists array<int>"), "ann-postings")
+    sizes = _counts(posted.select(F.explode("lists").alias("list")), "list", len(centroids))
     asked = vectors.where("ask").select("vec_id", "embedding")
     classes = persist_table(asked.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "embedding"), "ann-queries")
-    routes = persist_table(classes.mapInArrow(_route(Graph(centroids), sizes, ratio, max(lists, math.ceil(share * len(centroids))), least, span), f"vec_id long, embedding {kind}, groups array<long>"), "ann-routes")
-    routed = routes.select("vec_id", "embedding", F.explode("groups").alias("group"))
+    route = _route(Graph(centroids), sizes, ratio, spread_of(rest, centroids), lists, least)
+    routes = persist_table(classes.mapInArrow(route, f"vec_id long, embedding {kind}, lists array<int>"), "ann-routes")
+
+    def group_of(x):
+        return F.floor(x / F.lit(span)).cast("long")
+
+    routed = routes.withColumn("group", F.explode(F.array_distinct(F.transform("lists", group_of))))
+    routed = routed.withColumn("lists", F.filter("lists", lambda x: group_of(x) == F.col("group")))
 
     def parts(count: np.ndarray) -> Column:
         return F.element_at(F.lit(np.maximum(1, -(-count // BLOCK)).tolist()), (F.col("group") + 1).cast("int"))
 
-    b_parts, q_parts = parts(sizes), parts(_counts(routed, groups))
+    b_parts, q_parts = parts(_counts(posted, "group", groups)), parts(_counts(routed, "group", groups))
 
     def placed(df: DataFrame, own: Column, others: Column, ask: bool) -> DataFrame:
         both = df.withColumns({"_own": F.pmod(F.xxhash64("vec_id", "embedding"), own), "_other": F.explode(F.sequence(F.lit(0), others - 1))})
         b, q = ("_other", "_own") if ask else ("_own", "_other")
-        return both.select(F.concat_ws(":", "group", b, q).alias("block"), "vec_id", "embedding", F.lit(ask).alias("ask"))
+        return both.select(F.concat_ws(":", "group", b, q).alias("block"), "vec_id", "embedding", "lists", F.lit(ask).alias("ask"))
 
     blocks = placed(posted, b_parts, q_parts, False).unionByName(placed(routed, q_parts, b_parts, True))
     found = blocks.groupBy("block").applyInArrow(_nearest(k + 1), "query_id long, vec_id long, score double")
@@ -244,9 +267,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, boundary: float =
     return own.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
 
 
-def _counts(rows: DataFrame, groups: int) -> np.ndarray:
-    """Rows of each group of lists; at most MAX_LISTS numbers come to the driver."""
-    out = np.zeros(groups, np.int64)
-    for r in rows.groupBy("group").count().collect():
-        out[r["group"]] = r["count"]
+def apart(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nine tenths of a sample to fit centroids on and the rest, which they don't know, to measure distances; a small sample is used for both."""
+    if len(sample) < 100:
+        return sample, sample
+    turn = np.random.Generator(np.random.PCG64(3)).permutation(len(sample))
+    return sample[turn[len(sample) // 10 :]], sample[turn[: len(sample) // 10]]
+
+
+def spread_of(sample: np.ndarray, centroids: np.ndarray) -> float:
+    """The mean distance of a vector of the sample from its nearest centroid."""
+    total, norm = 0.0, (centroids**2).sum(axis=1)
+    for i in range(0, len(sample), 1024):
+        x = sample[i : i + 1024]
+        total += np.sqrt(np.maximum(0, (x * x).sum(axis=1) + (norm - 2 * x @ centroids.T).min(axis=1))).sum()
+    return total / max(1, len(sample))
+
+
+def _counts(rows: DataFrame, column: str, n: int) -> np.ndarray:
+    """Rows by list or group of lists; at most MAX_LISTS numbers come to the driver."""
+    out = np.zeros(n, np.int64)
+    for r in rows.groupBy(column).count().collect():
+        out[r[column]] = r["count"]
     return out

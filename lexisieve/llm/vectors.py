@@ -34,11 +34,11 @@ def matrix(lists) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def sample(vectors: DataFrame, column: str, n: int) -> np.ndarray:
-    """At most SAMPLE of n vectors, by a hash of the vector."""
+def sample(vectors: DataFrame, column: str, n: int, most: int = SAMPLE) -> np.ndarray:
+    """At most `most` of n vectors, by a hash of the vector."""
     rank = F.pmod(F.xxhash64(column), F.lit(1 << 40))
-    share = min(1.0, 0.9 * SAMPLE / max(1, n))
-    rows = vectors.where(rank < int(share * (1 << 40))).select(column).limit(SAMPLE).toArrow()
+    share = min(1.0, 0.9 * most / max(1, n))
+    rows = vectors.where(rank < int(share * (1 << 40))).select(column).limit(most).toArrow()
     out = matrix(rows.column(0))
     return out[np.lexsort(out.T)]  # the same order however the rows lie
 
