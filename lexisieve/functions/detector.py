@@ -193,6 +193,10 @@ class Detector:
             d = settings.fuzzy_max_distance
             self.fuzzy_lengths = range(max(1, min(lengths) - d), max(lengths) + d + 1) if lengths else range(0)
 
+    def _holds(self, reading: str) -> bool:
+        """Whether a reading's text holds a term of either list."""
+        return self.black.any(reading) or self.white.any(reading)
+
     @staticmethod
     def _spells(scanner: Scanner, text: str, skipped: str) -> bool:
         """Whether a word of scanner shows once all skipped signs are gone; if not, no reading that leaves out some of them has one."""
@@ -290,12 +294,14 @@ class Detector:
             return None, None, TOO_LONG
         v = V.base_view(text, on.unicode_form)
         separators, widest = on.obfuscation_separators, on.max_whitespace_gap
-        keyboard = V.keyboard_view(v) if on.keyboard_matching else v
+        keys = on.keyboard_matching and V._LATIN.search(v.text) is not None
+        # spans are made only for readings that hold a term, or a whitelisted one
+        keyboard = V.keyboard_view(v) if keys and self._holds(V.keyboard_text(v.text)) else v
         jamo = V.jamo_view(text, v, on.unicode_form) if on.jamo_composition_matching else v
         wide_keyboard, wide_jamo, wide_initials = keyboard, jamo, v
-        source = keyboard is not v or jamo is not v or (on.choseong_matching and any(c in V.ONSETS for c in text))
+        source = keys or jamo is not v or (on.choseong_matching and any(c in V.ONSETS for c in text))
         if on.segmented_input_matching and source and (" " in v.text or not separators.isdisjoint(v.text)):
-            if keyboard is not v:
+            if keys and self._holds(V.keyboard_text(V.joined_text(text, v, separators, widest))):
                 wide_keyboard = V.keyboard_view(V.joined_view(text, v, frozenset(V.KEYS), separators, widest))
             if jamo is not v:
                 wide_jamo = V.jamo_view(text, v, on.unicode_form, (separators, widest))

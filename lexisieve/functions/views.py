@@ -30,6 +30,7 @@ INITIALS = frozenset(ONSETS) | frozenset(normalize("NFKC", c) for c in ONSETS)
 BASE, LAST = 0xAC00, 0xD7A3
 
 _PLAIN = re.compile(r"[\x21-\x7e가-힣]+(?: [\x21-\x7e가-힣]+)*")
+_LATIN, _BLANK = re.compile("[A-Za-z]+"), re.compile(" ")
 _ODD = re.compile(r"[^\S ]\s*| \s+")  # a run of white space that is not a lone space
 
 
@@ -259,6 +260,31 @@ def keyboard_view(v: View) -> View:
     return b.view()
 
 
+@lru_cache(maxsize=200_000)
+def typed(keys: str) -> str:
+    """What a run of Latin keys spells on the two-set layout."""
+    b = _Builder()
+    compose([(KEYS[c], i, i + 1) for i, c in enumerate(keys)], b)
+    return "".join(b.chars)
+
+
+def keyboard_text(text: str) -> str:
+    """The text of keyboard_view alone."""
+    return _LATIN.sub(lambda m: typed(m.group()), text)
+
+
+def joined_text(text: str, v: View, separators: frozenset[str], widest: int) -> str:
+    """The text of joined_view over Latin keys alone."""
+    marked, at = [], 0
+    for m in _BLANK.finditer(v.text):  # blanks that end a run stay apart
+        if not short_blank(text, v, m.start(), widest):
+            marked += (v.text[at : m.start()], "\n")
+            at = m.end()
+    marked.append(v.text[at:])
+    gap = re.escape("".join(sorted(separators)))
+    return re.sub(rf"(?<=[A-Za-z])[ {gap}]+(?=[A-Za-z])", "", "".join(marked)).replace("\n", " ")
+
+
 def _raw_gap(text: str, i: int, form: str, separators: frozenset[str], widest: int) -> int:
     """The end of a gap of separators and short blanks from i on, or i if a blank is too wide."""
     j = i
