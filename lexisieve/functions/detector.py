@@ -10,6 +10,7 @@ failed, because a shorter term at a start sorts after the longer one.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -25,6 +26,7 @@ PARTICLES = frozenset({
     "뿐", "에", "에게", "에서", "와", "으로", "은", "을", "의", "이", "이나", "이든", "이든지", "이라도", "이랑", "조차", "처럼", "한테",
 })
 LONGEST_PARTICLE = max(map(len, PARTICLES))
+SOLID = re.compile(r"[^\W_]+")  # letters and digits
 REMEMBERED = 200_000  # tokens whose near terms a detector keeps
 TOO_LONG, TOO_COSTLY = "input_too_long", "fuzzy_operation_limit"
 
@@ -254,31 +256,25 @@ class Detector:
             known = self.tokens[token] = len(own) + len(terms) * len(token), near
         return known
 
-    def _fuzzy(self, text: str, v: V.View, edges: Edges, guard: bytes, protected: bytes, taken: bytes) -> list[Match]:
+    def _fuzzy(self, text: str, v: V.View, boundaries, guard: bytes, protected: bytes, taken: bytes) -> list[Match]:
         """Whole tokens at an edit distance of 1 to the most allowed; raises OverflowError past the operation limit."""
-        least, cost = self.settings.fuzzy_min_score, 0
-        best: dict[tuple[str, int, int], tuple] = {}
-        i, n = 0, len(v.text)
-        while i < n:
-            if not v.text[i].isalnum() or not edges.start[i]:
-                i += 1
+        least, cost, n = self.settings.fuzzy_min_score, 0, len(v.text)
+        tokens = [(m.start(), m.end(), *self._near(m.group())) for m in SOLID.finditer(v.text) if m.end() - m.start() in self.fuzzy_lengths]
+        if sum([t[2] for t in tokens]) <= self.settings.fuzzy_max_operations and not any([t[3] for t in tokens]):
+            return []
+        edges, best = boundaries(), {}
+        for i, j, spent, near in tokens:
+            if not (edges.start[i] and edges.end[j]):
                 continue
-            j = i
-            while j < n and v.text[j].isalnum():
-                j += 1
-            token = v.text[i:j]
-            if edges.end[j] and len(token) in self.fuzzy_lengths:
-                spent, near = self._near(token)
-                cost += spent
-                if cost > self.settings.fuzzy_max_operations:
-                    raise OverflowError
-                for t, d in near:
-                    score = 1.0 - d / max(len(t), len(token))
-                    if score >= least:
-                        o, p = v.starts[i], v.ends[j - 1]
-                        rank = (-len(t), d, -(j - i), o, t, i, p, j, score)
-                        best[t, o, p] = min(best.get((t, o, p), rank), rank)
-            i = max(j, i + 1)
+            cost += spent
+            if cost > self.settings.fuzzy_max_operations:
+                raise OverflowError
+            for t, d in near:
+                score = 1.0 - d / max(len(t), j - i)
+                if score >= least:
+                    o, p = v.starts[i], v.ends[j - 1]
+                    rank = (-len(t), d, -(j - i), o, t, i, p, j, score)
+                    best[t, o, p] = min(best.get((t, o, p), rank), rank)
         seen, used, out = bytearray(n), bytearray(taken), []
         for _, _, _, o, t, s, p, e, score in sorted(best.values()):
             if not (_hit(guard, s, e) or _hit(protected, o, p) or _hit(seen, s, e) or _hit(used, o, p)):
@@ -374,7 +370,7 @@ class Detector:
             merge(self._mixed(text, v, boundaries(), protected, taken))
         if self.signatures:
             try:
-                merge(self._fuzzy(text, v, boundaries(), guards["base"], protected, taken))
+                merge(self._fuzzy(text, v, boundaries, guards["base"], protected, taken))
             except OverflowError:
                 return None, None, TOO_COSTLY
         return v.text, sorted(out, key=lambda m: (m.start, m.end, m.term)), None
