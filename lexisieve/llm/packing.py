@@ -8,7 +8,8 @@ some of many documents that are, are opened to evolution.  Genes are whole
 bins: crossover injects well-filled bins of one parent into another, removes
 the bins that held the same documents, swaps displaced documents into other
 bins where they leave less room, and puts the rest back by best fit; mutation
-empties the worst bins.
+empties the worst bins and some others and fills them anew, each as full as the
+documents at hand can (sums of lengths as bits of one integer).
 
 A shard has several islands, each with a population of its own and each a
 group of the cluster's: an epoch is one shuffle, which hands every island its
@@ -164,17 +165,22 @@ def swap_in(length: list[int], size: int, bins: list[list[int]], free: list[int]
     return free
 
 
-def _rebuilt(a: Bins, kept: list[list[int]], free: list[int], injected: list[list[int]]) -> Bins:
-    free = swap_in(a.length, a.size, kept, free)
-    child = Bins(a.length, a.size)
-    for items in kept + injected:
-        child.add(items)
-    child.best_fit(free)
-    return child
+def fullest(length: list[int], size: int, items: list[int]) -> list[int]:
+    """The longest of items (which come longest first) and the others that fill its bin best, long ones rather than short ones."""
+    mask = (1 << (size - length[items[0]] + 1)) - 1
+    sums = [1]  # of the first k others: bit t is set if some of them make t
+    for i in items[1:]:
+        sums.append((sums[-1] | sums[-1] << length[i]) & mask)
+    left, out = sums[-1].bit_length() - 1, [items[0]]
+    for k in range(len(items) - 1, 0, -1):
+        if not sums[k - 1] >> left & 1:
+            out.append(items[k])
+            left -= length[items[k]]
+    return out
 
 
 def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
-    """A child of a with some of b's well-filled bins injected."""
+    """A child of a with some of b's well-filled bins injected; displaced documents are swapped in or best-fitted."""
     order = sorted(range(len(b.bins)), key=b.room.__getitem__)
     top = order[: max(1, len(order) // 2)]
     injected = [list(b.bins[k]) for k in rng.sample(top, max(1, len(top) // 2))]
@@ -185,15 +191,30 @@ def crossover(a: Bins, b: Bins, rng: random.Random) -> Bins:
             kept.append(list(items))
         else:
             displaced += [i for i in items if i not in taken]
-    return _rebuilt(a, kept, displaced, injected)
+    displaced = swap_in(a.length, a.size, kept, displaced)
+    child = Bins(a.length, a.size)
+    for items in kept + injected:
+        child.add(items)
+    child.best_fit(displaced)
+    return child
 
 
 def mutate(a: Bins, rng: random.Random, share: int = 20) -> Bins:
-    """A copy of a whose worst bins, one of `share`, and as many others were emptied and packed anew."""
+    """A copy of a whose worst bins, one of `share`, and as many others were emptied and filled anew, each as full as it gets."""
     order = sorted(range(len(a.bins)), key=a.room.__getitem__, reverse=True)
     n = min(len(order), max(2, len(order) // share))
     gone = set(order[:n]) | set(rng.sample(order, n))
-    return _rebuilt(a, [list(items) for k, items in enumerate(a.bins) if k not in gone], [i for k in sorted(gone) for i in a.bins[k]], [])
+    child = Bins(a.length, a.size)
+    for k, items in enumerate(a.bins):
+        if k not in gone:
+            child.add(list(items))
+    free = sorted([i for k in gone for i in a.bins[k]], key=a.length.__getitem__, reverse=True)
+    while free:
+        items = fullest(a.length, a.size, free)
+        child.add(items)
+        taken = set(items)
+        free = [i for i in free if i not in taken]
+    return child
 
 
 def packed_bins(length: list[int], size: int, plan: list[int]) -> Bins:
