@@ -74,8 +74,12 @@ def buckets() -> Column:
 
 
 def fit(labelled: DataFrame) -> tuple[float, list[float]]:
-    """Bias and weights from a labelled table (url, block), by stochastic gradient steps in the order of the rows' texts."""
-    rows = with_parts(labelled.where("url is not null and block is not null")).select("url", "block", buckets().alias("b")).limit(MAX_LABELLED).collect()
+    """Bias and weights from a labelled table (url, block), by stochastic gradient steps in the order of the rows' texts.
+
+    Of more than MAX_LABELLED rows those with the least hash of the url are taken.
+    """
+    some = labelled.where("url is not null and block is not null").select("url", "block").orderBy(F.xxhash64("url"), "url", "block").limit(MAX_LABELLED)
+    rows = with_parts(some).select("url", "block", buckets().alias("b")).collect()
     rows.sort(key=lambda r: (hash_of(r["url"]), r["url"], r["block"]))
     bias, w = 0.0, [0.0] * BUCKETS
     for epoch in range(EPOCHS):
