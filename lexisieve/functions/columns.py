@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,17 +28,30 @@ MATCH = T.StructType([T.StructField(n, k) for n, k in (("term", T.StringType()),
 RESULT = T.StructType([T.StructField("normalized_text", T.StringType()), T.StructField("error", T.StringType()), T.StructField("matches", T.ArrayType(MATCH))])
 _MATCH = pa.struct([("term", pa.string()), ("matched_text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("method", pa.string()), ("score", pa.float64())])
 _RESULT = pa.struct([("normalized_text", pa.string()), ("error", pa.string()), ("matches", pa.list_(_MATCH))])
+SLICE, SLICE_ROWS = 1 << 20, 512  # bytes and rows of texts that a kernel takes at once
 _DETECTORS: dict[str, Detector] = {}  # of this Python worker
 
 
 def _detector(key: str, lexicon: Lexicon, settings: Settings) -> Detector:
     if key not in _DETECTORS:
-        if len(_DETECTORS) >= 16:
+        if len(_DETECTORS) >= 64:
             _DETECTORS.clear()
         _DETECTORS[key] = Detector(lexicon, settings)
     return _DETECTORS[key]
 
 
+def slices(batches: Iterator[pa.Array]) -> Iterator[list[str | None]]:
+    """The texts of batches, SLICE bytes or one text at a time: what a kernel holds doesn't grow with the rows of a batch."""
+    for texts in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, n = 0, len(texts)
+        while at < n:
+            before = ends[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(ends, before + SLICE, side="right"))), at + SLICE_ROWS)
+            yield texts.slice(at, to - at).to_pylist()
+            at = to
+
+
 class Sieve:
     """Detection with one lexicon under one profile or settings (the default is the balanced profile)."""
 
@@ -52,9 +67,9 @@ class Sieve:
 
         def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             detector = _detector(key, own, on)
-            for texts in batches:
+            for texts in slices(batches):
                 rows = []
-                for t in texts.to_pylist():
+                for t in texts:
                     if t is None:
                         rows.append(None)
                         continue
@@ -65,8 +80,8 @@ class Sieve:
 
         def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             detector = _detector(key, own, on)
-            for texts in batches:
-                rows = [None if t is None else detector(t)[1] for t in texts.to_pylist()]
+            for texts in slices(batches):
+                rows = [None if t is None else detector(t)[1] for t in texts]
                 yield pa.array([None if r is None else bool(r) for r in rows], pa.bool_())
 
         self._kernel, self._found = F.arrow_udf(kernel, RESULT), F.arrow_udf(found, T.BooleanType())
@@ -100,12 +115,33 @@ class Sieve:
     def spans(self, df: DataFrame, text: str = "text") -> DataFrame:
         """One row per match: the columns of df without text, and term, matched_text, start, end, method, score."""
         keep = [c for c in df.columns if c != text]
-        return df.select(*keep, self.detect(text).alias("_d")).select(*keep, F.inline("_d.matches"))
+        # inline would have Spark infer a filter over the kernel's result, and run the kernel twice
+        return df.select(*keep, self.detect(text).alias("_d")).select(*keep, F.inline_outer("_d.matches")).where("term is not null")
 
     def mask(self, df: DataFrame, text: str = "text", char: str = "*", to: str = "masked") -> DataFrame:
         return self.with_detection(df, text, "_d").withColumn(to, masked(F.col(text), F.col("_d"), char)).drop("_d")
 
 
+def found_by(sieves: dict[str, Sieve], text: Column | str) -> Column:
+    """array<struct<profile, matches' fields>> of several sieves of one lexicon: each text is read once, and its common readings are made once."""
+    if any(s.lexicon != next(iter(sieves.values())).lexicon for s in sieves.values()):
+        raise SettingsError("sieves of one lexicon are needed")
+    own = [(name, s._key, s.lexicon, s.settings) for name, s in sieves.items()]
+    kind = pa.list_(pa.struct([("profile", pa.string()), *_MATCH]))
+
+    def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        detectors = [(name, _detector(*rest)) for name, *rest in own]
+        for texts in slices(batches):
+            rows = []
+            for t in texts:
+                shared: dict = {}
+                rows.append(None if t is None else [{"profile": name, **vars(m)} for name, detector in detectors for m in detector(t, shared)[1] or ()])
+            yield pa.array(rows, kind)
+
+    shape = T.ArrayType(T.StructType([T.StructField("profile", T.StringType()), *MATCH]))
+    return F.arrow_udf(kernel, shape)(text if isinstance(text, Column) else F.col(text))
+
+
 def contains(detection: Column) -> Column:
     """Whether anything was found; null where detection failed."""
     return F.when(detection["matches"].isNotNull(), F.size(detection["matches"]) > 0)
@@ -138,12 +174,16 @@ def masked(text: Column, detection: Column, char: str = "*") -> Column:
 
 def normalize(text: Column | str, form: str = "NFKC") -> Column:
     """struct<text, starts, ends>: normalised text and the original span of each of its code points."""
-    kind = pa.struct([("text", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+    def places(of: list) -> pa.Array:
+        flat = [np.arange(x.start, x.stop, dtype=np.int32) if isinstance(x, range) else np.array(x, np.int32) for x in of]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *flat])))
 
     def kernel(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            views = [None if t is None else base_view(t, form) for t in texts.to_pylist()]
-            yield pa.array([v and {"text": v.text, "starts": list(v.starts), "ends": list(v.ends)} for v in views], kind)
+        for texts in slices(batches):
+            views = [None if t is None else base_view(t, form) for t in texts]
+            parts = [pa.array([v and v.text for v in views], pa.string()), places([v.starts if v else () for v in views]), places([v.ends if v else () for v in views])]
+            yield pa.StructArray.from_arrays(parts, ["text", "starts", "ends"], mask=pa.array([v is None for v in views]))
 
     return F.arrow_udf(kernel, "struct<text:string,starts:array<int>,ends:array<int>>")(text if isinstance(text, Column) else F.col(text))
 
@@ -188,8 +228,8 @@ def leak_key_full(text: Column | str) -> Column:
             kept = [c for c in unicodedata.normalize("NFKC", t).casefold() if unicodedata.category(c)[0] not in "PZ" and unicodedata.category(c) != "Cf"]
             return "".join([c for i, c in enumerate(kept) if not i or kept[i - 1] != c])
 
-        for texts in batches:
-            yield pa.array([None if t is None else key(t) for t in texts.to_pylist()], pa.string())
+        for texts in slices(batches):
+            yield pa.array([None if t is None else key(t) for t in texts], pa.string())
 
     return F.arrow_udf(kernel, "string")(text if isinstance(text, Column) else F.col(text))
 
