@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexisieve.functions.columns import Sieve
+from lexisieve.functions.columns import MATCH, Sieve, found_by
 from lexisieve.functions.lexicon import Lexicon
 from lexisieve.functions.settings import Settings, SieveError, profile
 from lexisieve.operators import metrics
+from lexisieve.sources.readers import written
 
 BASELINE, CONTROL, FULL = "exact-alias", "segmented-prerequisites", "all-enabled"
 SINGLE = {
@@ -42,7 +43,10 @@ def base_of(name: str) -> str:
 
 def predictions(cases: DataFrame, lexicon: Lexicon, profiles: dict[str, Settings], text: str = "text") -> DataFrame:
     """Rows (columns of cases without text, profile, term, matched_text, start, end, method, score) of every profile."""
-    return reduce(DataFrame.unionByName, [Sieve(lexicon, settings=s).spans(cases, text).withColumn("profile", F.lit(p)) for p, s in profiles.items()])
+    keep = [c for c in cases.columns if c != text]
+    found = found_by({p: Sieve(lexicon, settings=s) for p, s in profiles.items()}, text)
+    rows = cases.select(*keep, found.alias("_f")).select(*keep, F.inline_outer("_f")).where("profile is not null")
+    return rows.select(*keep, *MATCH.names, "profile")
 
 
 def ablation_run(cases: DataFrame, gold: DataFrame, lexicon: Lexicon, profiles: dict[str, Settings] | None = None, **changes) -> DataFrame:
@@ -53,7 +57,8 @@ def ablation_run(cases: DataFrame, gold: DataFrame, lexicon: Lexicon, profiles:
     profiles = profiles or matcher_matrix(**changes)
     if "label" in cases.columns:
         cases = cases.where("label <> 'review'")
-    found = predictions(cases.select("case_id", "text"), lexicon, profiles).select("case_id", "start", "end", "term", "profile").distinct()
+    found = written(predictions(cases.select("case_id", "text"), lexicon, profiles).select("case_id", "start", "end", "term", "profile").distinct(), "ablation")
+    gold = written(gold.select("case_id", "start", "end", "term"), "gold")
     parts = []
     for base in sorted({base_of(p) for p in profiles if p != BASELINE}):
         own = [p for p in profiles if p != base and base_of(p) == base]

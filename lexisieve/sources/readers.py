@@ -139,6 +139,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a scratch path and read from there, so that what reads it twice doesn't make it twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json(df: DataFrame, path: str, inputs: tuple[str, ...] = ()) -> None:
     """Writes JSON lines; refuses to overwrite, and to write into an input."""
     if any(path.rstrip("/") == i.rstrip("/") or path.startswith(i.rstrip("/") + "/") for i in inputs):
