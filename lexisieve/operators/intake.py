@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexisieve.functions.columns import leak_key
 from lexisieve.operators import sampling
 from lexisieve.operators.signals import is_sensitive
-from lexisieve.sources.readers import LICENSES, MATCHES, SOURCE, SourceError
+from lexisieve.sources.readers import LICENSES, MATCHES, SOURCE, SourceError, written
 
 ID = r"[a-z0-9][a-z0-9._-]{0,127}"
 SHA256 = r"[0-9a-f]{64}"
@@ -131,9 +131,23 @@ def review_cases(rows: DataFrame, source_id: str, name: str, reference: str | No
     )
 
 
-def _ranked(rows: DataFrame, source_id: str, revision: str, label: Column) -> DataFrame:
+def _judged(rows: DataFrame, source_id: str, revision: str, name: str, **more: Column) -> DataFrame:
+    """What selection and report ask of each row, without its text: texts are read and matched once, and what was found is written."""
     identity = sampling.identity(F.col("text"))
-    return rows.withColumns({"identity": identity, "rank": sampling.stable_rank(source_id, revision, label, identity)})
+    found = rows.select("row_number", "source_label", identity.alias("identity"), is_sensitive(F.col("text")).alias("sensitive"), *[c.alias(k) for k, c in more.items()])
+    return written(found, name).withColumn("rank", sampling.stable_rank(source_id, revision, F.col("source_label"), F.col("identity")))
+
+
+def _with_text(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row_number, source_label, identity, text) of the rows chosen, which the quotas bound; a row that the source holds twice comes once."""
+    keys = ("row_number", "source_label", "identity")
+    c, r = chosen.select(*[F.col(k).alias(f"_{k}") for k in keys]), rows.select("row_number", "source_label", sampling.identity(F.col("text")).alias("identity"), "text")
+    return r.join(F.broadcast(c), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left_semi").dropDuplicates(keys)
+
+
+def _look(text: Column) -> Column:
+    """The hash of the leak key, for texts that have to be alike and not to be shown."""
+    return F.unhex(F.sha2(leak_key(text), 256))
 
 
 def _report(parts: dict[str, DataFrame]) -> DataFrame:
@@ -149,16 +163,16 @@ def licensed(rows: DataFrame, spec: dict, exact: bool = True) -> tuple[DataFrame
     """
     spec = licensed_spec(spec)
     i = spec["intake"]
-    every = _ranked(rows, spec["source_id"], spec["revision"], F.col("source_label"))
+    every = _judged(rows, spec["source_id"], spec["revision"], "licensed")
     first = sampling.keep_first(every, F.col("identity"), F.col("row_number"))
-    eligible = first.where(~is_sensitive(F.col("text")))
+    eligible = first.where(~F.col("sensitive"))
     order = (F.col("rank"), F.col("row_number"))
     if i["target_count"] is not None:
         chosen = sampling.top_k(eligible, i["target_count"], *order, exact=exact)
     else:
         chosen = sampling.top_k_per_label(eligible, i["target_by_source_label"], "source_label", *order, exact=exact)
-    cases = review_cases(chosen, spec["source_id"], spec["source_name"], spec["repository"], spec["revision"], spec["license"]["spdx"])
-    return cases, _report({"source": rows, "unique": first, "eligible": eligible, "selected": chosen})
+    cases = review_cases(_with_text(chosen, rows), spec["source_id"], spec["source_name"], spec["repository"], spec["revision"], spec["license"]["spdx"])
+    return cases, _report({"source": every, "unique": first, "eligible": eligible, "selected": chosen})
 
 
 def quarantine(rows: DataFrame, excluded: DataFrame, spec: dict, exact: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -168,11 +182,12 @@ def quarantine(rows: DataFrame, excluded: DataFrame, spec: dict, exact: bool = T
     whose key has rows of both labels go; of equal keys the first in rank stays.
     """
     spec = quarantine_spec(spec)
-    every = _ranked(rows, spec["source_id"], spec["revision"], F.col("source_label")).withColumn("key", leak_key(F.col("text")))
-    apart = sampling.without(every, excluded.select(leak_key(F.col("text")).alias("key")), "key")
-    harmless = apart.where(~is_sensitive(F.col("text")))
+    every = _judged(rows, spec["source_id"], spec["revision"], "quarantine", key=_look(F.col("text")))
+    out = written(excluded.select(_look(F.col("text")).alias("key")).distinct(), "excluded")
+    apart = sampling.without(every, out, "key")
+    harmless = apart.where(~F.col("sensitive"))
     order = (F.col("rank"), F.col("row_number"))
     single = sampling.conflict_free(harmless, "key", "source_label", *order)
     chosen = sampling.top_k_per_label(single, spec["intake"]["target_by_source_label"], "source_label", *order, exact=exact)
-    cases = review_cases(chosen, spec["source_id"], spec["source_id"], None, spec["revision"], "LicenseRef-Pending", open_data=False)
-    return cases, _report({"source": rows, "not-excluded": apart, "not-sensitive": harmless, "eligible": single, "selected": chosen})
+    cases = review_cases(_with_text(chosen, rows), spec["source_id"], spec["source_id"], None, spec["revision"], "LicenseRef-Pending", open_data=False)
+    return cases, _report({"source": every, "not-excluded": apart, "not-sensitive": harmless, "eligible": single, "selected": chosen})
