@@ -84,7 +84,13 @@ class Sieve:
                 rows = [None if t is None else detector(t)[1] for t in texts]
                 yield pa.array([None if r is None else bool(r) for r in rows], pa.bool_())
 
-        self._kernel, self._found = F.arrow_udf(kernel, RESULT), F.arrow_udf(found, T.BooleanType())
+        def only(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            detector = _detector(key, own, on)
+            for texts in slices(batches):
+                rows = [None if t is None else detector(t)[1] for t in texts]
+                yield pa.array([None if r is None else [vars(m) for m in r] for r in rows], pa.list_(_MATCH))
+
+        self._kernel, self._found, self._only = F.arrow_udf(kernel, RESULT), F.arrow_udf(found, T.BooleanType()), F.arrow_udf(only, T.ArrayType(MATCH))
 
     def detect(self, text: Column | str) -> Column:
         """struct<normalized_text, error, matches>; matches are disjoint and in the order of their spans."""
@@ -94,6 +100,10 @@ class Sieve:
         """Whether anything is found; only the answer leaves the kernel."""
         return self._found(text if isinstance(text, Column) else F.col(text))
 
+    def matches(self, text: Column | str) -> Column:
+        """The matches of detect, null where it fails; normalised texts don't leave the kernel."""
+        return self._only(text if isinstance(text, Column) else F.col(text))
+
     def register(self, spark: SparkSession, name: str) -> None:
         """SQL names: name(text) and name_contains(text) as functions, name_spans(text) as a table function for LATERAL."""
         spark.udf.register(name, self._kernel)
@@ -116,7 +126,7 @@ class Sieve:
         """One row per match: the columns of df without text, and term, matched_text, start, end, method, score."""
         keep = [c for c in df.columns if c != text]
         # inline would have Spark infer a filter over the kernel's result, and run the kernel twice
-        return df.select(*keep, self.detect(text).alias("_d")).select(*keep, F.inline_outer("_d.matches")).where("term is not null")
+        return df.select(*keep, self.matches(text).alias("_m")).select(*keep, F.inline_outer("_m")).where("term is not null")
 
     def mask(self, df: DataFrame, text: str = "text", char: str = "*", to: str = "masked") -> DataFrame:
         return self.with_detection(df, text, "_d").withColumn(to, masked(F.col(text), F.col("_d"), char)).drop("_d")

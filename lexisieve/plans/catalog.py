@@ -120,13 +120,13 @@ def detect_error_rows(spark, sf):
 def whitelist_protect(spark, sf):
     docs = documents(spark, sf).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("clown"), F.lit("clownfish"))).otherwise(F.col("text")))
     own = sieve("exact", lexicon=Lexicon.build(TERMS, ["clownfish"]))
-    return docs.select("doc_id", own.detect("text").alias("d")).select("doc_id", F.size("d.matches").cast("long").alias("found"))
+    return docs.select("doc_id", own.matches("text").alias("m")).select("doc_id", F.size("m").cast("long").alias("found"))
 
 
 def _found(spark, sf, old: str, new: str, own: Sieve, method: str) -> DataFrame:
     docs = documents(spark, sf).withColumn("text", F.replace("text", F.lit(old), F.lit(new)))
-    d = docs.select("doc_id", own.detect("text").alias("d"))
-    return d.select("doc_id", F.size(F.filter("d.matches", lambda m: m["method"] == method)).cast("long").alias("found"))
+    d = docs.select("doc_id", own.matches("text").alias("m"))
+    return d.select("doc_id", F.size(F.filter("m", lambda m: m["method"] == method)).cast("long").alias("found"))
 
 
 def _count_sql(word: str) -> str:

@@ -15,5 +15,5 @@ def detect_stream(stream: DataFrame, sieve: Sieve, text: str = "text") -> DataFr
 
 def term_rates(stream: DataFrame, sieve: Sieve, time: str, text: str = "text", window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Matches by event-time window and term; rows later than the watermark are left out by Spark."""
-    found = stream.withWatermark(time, late).select(time, sieve.detect(text).alias("_d")).select(time, F.inline("_d.matches"))
+    found = stream.withWatermark(time, late).select(time, sieve.matches(text).alias("_m")).select(time, F.inline("_m"))
     return found.groupBy(F.window(time, window).alias("window"), "term").agg(F.count("*").alias("n"))
